@@ -26,6 +26,7 @@ columns. Sets are compared by 64-bit hashes of their shingles."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,7 @@ from .words import U, mix, shingle_sets, signed, sums_by
 
 #: Members of a region whose pairs are compared as they are; pivots of a larger one; regions within regions.
 LEAF, PIVOTS, DEPTH = 24, 6, 6
+SKETCH_BITS = 2_048
 #: Hashes by which a set with too many thin classes is projected.
 SEEDS = 12
 #: Sets up to which their ids (16 bytes each) are broadcast; more are joined by a shuffle.
@@ -52,13 +54,27 @@ class Rings:
         self.percent = percent
         edge = [1]
         while edge[-1] < 1 << 40:
-            edge.append(max(edge[-1] + 1, -(-edge[-1] * 3 // 2)))
+            edge.append(max(edge[-1] + 1, -(-edge[-1] * 5 // 4)))
         self.edge = np.array(edge, np.int64)
-        most = self.edge[1:] - 1
-        differ = (100 - percent) * 2 * most // (100 + percent)
-        self.spare = differ // 8
-        self.classes = differ + 1 + self.spare
-        self.thin = np.where(differ >= 8, 1, 0)
+        found = [self._band(lo, hi - 1) for lo, hi in zip(edge, edge[1:], strict=False)]
+        self.classes, self.spare, self.thin = (np.array(x, np.int64) for x in zip(*found, strict=True))
+
+    def _band(self, lo: int, most: int) -> tuple[int, int, int]:
+        """Classes, spare ones and size of a thin class: so many to spare that few sets have more thin classes (Poisson's law for the smallest set)."""
+        differ = (100 - self.percent) * 2 * most // (100 + self.percent)
+        least = max(1, lo * self.percent // 100)
+        for thin in (1, 0) if differ >= 8 else (0,):
+            spare = differ // 8
+            for _ in range(40):
+                k = differ + 1 + spare
+                mean = least / k
+                expected = k * math.exp(-mean) * (1 + mean * thin)
+                if spare >= expected + 3 * math.sqrt(expected) or differ < 8:
+                    return k, spare, thin
+                spare = spare + 1 + spare // 16
+                if spare > differ:
+                    break
+        return differ + 1 + differ // 4, differ // 4, 0
 
     def cells(self, sets: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(key, id) of every region of every non-empty set; keys are even."""
@@ -193,16 +209,25 @@ def regions(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def point_sets(docs: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """sid, n, set (array<long>) of the points (sid, doc_id of one of its rows)."""
+    """sid, n, set (array<long>), sketch of the points (sid, doc_id of one of its rows).
+
+    The sketch holds, for SKETCH_BITS classes of shingles, whether their number is odd. Two sets differ in at least as
+    many shingles as their sketches in bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, sets, offsets, ids in set_rows(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), signed(sets))], ["sid", "n", "set"])
+            n = np.diff(offsets)
+            rows = max(1, len(n))
+            cell = np.repeat(np.arange(len(n)), n) * SKETCH_BITS + (sets % U(SKETCH_BITS)).astype(np.int64)
+            odd = np.bincount(cell, minlength=rows * SKETCH_BITS)[: len(n) * SKETCH_BITS].astype(np.uint8) & 1
+            bits = np.packbits(odd.reshape(len(n), SKETCH_BITS), axis=1).view(np.int64)
+            marks = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(bits.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), signed(sets)), marks], ["sid", "n", "set", "sketch"])
 
     few = points.count() <= BROADCAST_SETS
     hint = F.broadcast if few else (lambda df: df)
     wanted = docs.join(hint(points.select(F.col("doc_id").alias("_p"))), F.col("doc_id").eqNullSafe(F.col("_p")), "left_semi")
-    sets = wanted.select("text").mapInArrow(run, "sid long, n long, set array<long>")
+    sets = wanted.select("text").mapInArrow(run, "sid long, n long, set array<long>, sketch array<long>")
     return sets.join(hint(points.select("sid")), "sid", "left_semi").dropDuplicates(["sid"])
 
 
@@ -222,6 +247,14 @@ def link_components(docs: DataFrame, k: int, percent: int, stash: Stash) -> tupl
     sets = stash(point_sets(docs, points.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), k))
     sizes = sets.select("sid", "n")
 
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sketches leave room for a link; the others can't have one."""
+        a = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+        b = sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+        apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        fits = F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")
+        return pairs.join(a, "a").join(b, "b").where(fits & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+
     def compared(pairs: DataFrame) -> DataFrame:
         """a, b, far (the distance), link of distinct pairs."""
         a = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("set_a"))
@@ -233,7 +266,7 @@ def link_components(docs: DataFrame, k: int, percent: int, stash: Stash) -> tupl
     ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
     pivot = ranked.groupBy("region").agg(F.max("rank").alias("pivot"))
     pairs = ranked.join(pivot, "region").groupBy("sid").agg(F.max("pivot").alias("p")).select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).where("a <> b")
-    known = stash(compared(pairs.select(*ordered).distinct()))
+    known = stash(compared(stash(possible(pairs.select(*ordered).distinct()))))
     depth = 0
     near = 1 - percent / 100
     while True:
@@ -254,8 +287,11 @@ def link_components(docs: DataFrame, k: int, percent: int, stash: Stash) -> tupl
         order = F.row_number().over(W.partitionBy("region").orderBy(F.desc("rank")))
         heads = heads.withColumn("i", order).where(F.col("i") <= PIVOTS).select("region", F.col("rank.sid").alias("pivot"))
         to_pivot = stash(large.join(heads, "region").select("region", "sid", "rank", "pivot"))
-        todo = todo.unionByName(to_pivot.where("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).select(*ordered)).distinct()
-        new = stash(compared(todo.join(known, ["a", "b"], "left_anti")))
+        # Pivots need exact distances; of the others only the pairs that can link are compared.
+        links = possible(todo.distinct().join(known, ["a", "b"], "left_anti"))
+        exact = to_pivot.where("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).select(*ordered).join(known, ["a", "b"], "left_anti")
+        todo = stash(links.unionByName(exact).distinct())
+        new = stash(compared(todo))
         known = stash(known.unionByName(new))
         far = known.select("a", "b", "far")
         dist = to_pivot.withColumn("a", F.greatest("sid", "pivot")).withColumn("b", F.least("sid", "pivot")).join(far, ["a", "b"], "left")
@@ -263,7 +299,7 @@ def link_components(docs: DataFrame, k: int, percent: int, stash: Stash) -> tupl
         home = dist.groupBy("region", "sid").agg(F.min("far").alias("home"))
         inside = dist.join(home, ["region", "sid"]).where(F.col("far") <= F.col("home") + 2 * near + 1e-9)
         last, ranked = ranked, stash(inside.select(F.xxhash64("region", "pivot").alias("region"), "sid", "rank"))
-        stash.drop(last, open_, to_pivot, new)
+        stash.drop(last, open_, to_pivot, todo, new)
         depth += 1
 
 

@@ -179,6 +179,7 @@ class Mix:
                     got.insert(0, "shard", s)
                     yield got
 
+        # Spark takes the slots for as few bytes as the shards' numbers; the joins are told to shuffle them.
         tasks = max(1, min(plan.shards, 4 * spark.sparkContext.defaultParallelism))
         self.slots = spark.range(0, plan.shards, 1, tasks).mapInPandas(fill, "shard long, slot long, source_no int, pass long, block long, words long")
         last = F.floor((F.col("off") + F.col("size") - 1) / F.lit(block)).cast("long")
@@ -189,7 +190,7 @@ class Mix:
         self.spread = spread
         #: One row for each stretch of a document in a slot: words first_word to end_word of the document.
         self.pieces = (
-            spread.join(self.slots, ["source_no", "block"]).where("words > low")
+            spread.join(self.slots.hint("merge"), ["source_no", "block"]).where("words > low")
             .select("shard", "slot", "pass", "source", "source_no", "block", "doc_id", "hash", "off", "size", (word + F.col("low")).alias("first_word"), (word + F.least("high", "words")).alias("end_word"))
         )
 
@@ -198,7 +199,7 @@ class Mix:
         n = F.greatest(F.least("high", "words") - F.col("low"), F.lit(0))
         by = self.slots.groupBy("source_no", "block", "words").agg(F.count("*").alias("times"))
         some = (
-            self.spread.join(by, ["source_no", "block"], "left")
+            self.spread.join(by.hint("merge"), ["source_no", "block"], "left")
             .groupBy("source_no", "off", "doc_id", "size", "source_size", "target")
             .agg(F.coalesce(F.sum(n * F.col("times")), F.lit(0)).cast("long").alias("taken"))
         )

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import MARKS, bounds, chunks, word_hashes
+from .common import Stash
+from .words import MARKS, bounds, chunks, mix, word_hashes
 
 #: Labelled rows that the model is fitted on at most.
 TRAIN_ROWS = 20_000
@@ -70,8 +71,11 @@ def hash_of(words: tuple[str, ...]) -> np.ndarray:
     return np.concatenate([word_hashes(raw, *bounds(raw, at, MARKS)[:2]) for _, _, raw, at in chunks(pa.array(words, pa.string()))])
 
 
-def sample(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, held_out=None) -> list[tuple[np.ndarray, int]]:
-    """Distinct word hashes and label of at most `most` labelled texts outside `held_out` (a predicate on doc_id)."""
+def sample(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, held_out=None, identity=IDENTITY) -> list[tuple[np.ndarray, int]]:
+    """Word hashes that tell the classes apart and label of at most `most` labelled texts outside `held_out` (a predicate on doc_id).
+
+    Which words do is counted where the texts are: only words of LEAST_TEXTS texts and LEAST_Z standard errors, and
+    identity terms, reach the driver."""
     y = labels.select(F.col("doc_id"), F.col("toxic")).where("toxic is not null and doc_id is not null")
     if held_out is not None:
         y = y.where(~held_out(F.col("doc_id")))
@@ -80,14 +84,35 @@ def sample(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for _, _, h, of in words_of(batch.column(0)):
-                out += [np.unique(h[a:b]).tobytes() for a, b in zip(of[:-1], of[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["h", "y"])
+            for lo, hi, h, of in words_of(batch.column(0)):
+                own = [np.unique(h[a:b]) for a, b in zip(of[:-1], of[1:], strict=True)]
+                edge = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+                ids = [int(mix(x.sum(dtype=np.uint64)[None] + np.uint64(len(x))).view(np.int64)[0]) for x in own]
+                words = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), words, batch.column(1).slice(lo, hi - lo)], ["text_id", "h", "y"])
 
     # Equal texts count once; a doc_id that documents repeats may not lift the bound.
-    rows = d.mapInArrow(run, "h binary, y int").groupBy("h").agg((F.avg("y") >= 0.5).cast("int").alias("y")).limit(most).collect()
-    return [(np.frombuffer(r.h, np.uint64), r.y) for r in sorted(rows, key=lambda r: bytes(r.h))]
+    stash = Stash(documents.sparkSession, "toxicity")
+    once = d.mapInArrow(run, "text_id long, h array<long>, y int").groupBy("text_id").agg(F.first("h").alias("h"), (F.avg("y") >= 0.5).cast("int").alias("y"))
+    rows = stash(once.limit(most))
+    n, p = rows.agg(F.count("*"), F.avg("y")).first()
+    if not n or p in (0.0, 1.0):
+        return []
+    terms = np.concatenate([hash_of(g) for g in identity]).view(np.int64).tolist()
+    counts = rows.select(F.explode("h").alias("w"), "y").groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    z = F.abs(F.col("pos") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
+    kept = counts.where(((F.col("n") >= LEAST_TEXTS) & (z >= LEAST_Z)) | F.col("w").isin(terms)).select("w")
+    words = np.array(sorted(r.w for r in kept.collect()), np.int64)
+    sent = documents.sparkSession.sparkContext.broadcast(words)  # bounded by the words of `most` texts
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.intersect1d(np.array(h.as_py(), np.int64), sent.value, assume_unique=True).tobytes() for h in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["text_id", "h", "y"])
+
+    found = rows.mapInArrow(reduce, "text_id long, h binary, y int").collect()
+    stash.drop(rows)
+    return [(np.frombuffer(r.h, np.uint64), r.y) for r in sorted(found, key=lambda r: r.text_id)]
 
 
 def fit(rows: list[tuple[np.ndarray, int]], identity=IDENTITY) -> Model:
@@ -96,6 +121,8 @@ def fit(rows: list[tuple[np.ndarray, int]], identity=IDENTITY) -> Model:
     if len(rows) == 0 or y.min() == y.max():
         return empty
     flat = np.concatenate([h for h, _ in rows])
+    if not len(flat):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(y.mean() / (1 - y.mean()))))
     of = np.repeat(np.arange(len(rows)), [len(h) for h, _ in rows])
     keys, where, n = np.unique(flat, return_inverse=True, return_counts=True)
     pos = np.bincount(where, weights=y[of], minlength=len(keys))
@@ -103,6 +130,8 @@ def fit(rows: list[tuple[np.ndarray, int]], identity=IDENTITY) -> Model:
     z = (pos - n * p) / np.sqrt(n * p * (1 - p))
     groups = [hash_of(g) for g in identity]
     chosen = (n >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z) | np.isin(keys, np.concatenate(groups))
+    if not chosen.any():
+        return Model(keys[:0], np.zeros(0), float(np.log(p / (1 - p))))
     keys, number = keys[chosen], np.cumsum(chosen) - 1
     inside = chosen[where]
     col, row = number[where[inside]], of[inside]
