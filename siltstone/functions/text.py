@@ -162,10 +162,15 @@ def clamp(c: Column, most: int) -> Column:
 
 def gradeable(c: Column) -> Column:
     """Whether an answer is worth a grader's time: not one letter over and over, some words or a short value."""
-    t = F.trim(F.regexp_replace(text_or_empty(c), r"[\x00-\x1f\x7f]", ""))
-    most = F.array_max(F.transform(counted(F.split(t, "")), lambda x: x["n"]))
-    words = F.size(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("[a-z]{2,}"), F.lit(0))))
-    return (F.length(t) >= 2) & (F.coalesce(most, F.lit(0)) <= F.length(t) * 0.5) & ((words >= 3) | ((F.length(t) <= 50) & t.rlike(r"[\p{L}\p{N}]")))
+    bare = F.trim(F.regexp_replace(text_or_empty(c), r"[\x00-\x1f\x7f]", ""))
+
+    def worth(t: Column) -> Column:
+        # t is a bound value here: the clean text is made once, not again for each of its letters.
+        most = F.array_max(F.transform(F.array_distinct(F.split(t, "")), lambda x: F.length(t) - F.length(F.replace(t, x, F.lit("")))))
+        words = F.size(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("[a-z]{2,}"), F.lit(0))))
+        return (F.length(t) >= 2) & (F.coalesce(most, F.lit(0)) <= F.length(t) * 0.5) & ((words >= 3) | ((F.length(t) <= 50) & t.rlike(r"[\p{L}\p{N}]")))
+
+    return F.transform(F.array(bare), worth)[0]
 
 
 def hash_order(seed: int, *keys: Column) -> Column:

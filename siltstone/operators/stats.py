@@ -106,10 +106,14 @@ def weighted_kappa(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
 
 def row_pairs(df: DataFrame, order: list[Column]) -> DataFrame:
     """Pairs (a, b) of a leaderboard's rows, a before b in the order: structs joined on row numbers."""
-    r = df.select(F.struct(*df.columns).alias("row"), F.row_number().over(W.orderBy(*order)).alias("i"))
-    n = F.count("*").over(W.partitionBy())
-    later = r.withColumn("n", n).where("i < n").withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("n").cast("int"))))
-    return later.select(F.col("row").alias("a"), "j").join(r.select(F.col("row").alias("b"), F.col("i").alias("j")), "j").drop("j")
+    cols = df.columns
+    r = df.withColumn("i", F.row_number().over(W.orderBy(*order))).withColumn("n", F.count("*").over(W.partitionBy()))
+    j = F.explode(F.sequence(F.col("i") + 1, F.col("n").cast("int"))).alias("j")
+    left = r.where("i < n").select(*[F.col(c).alias(f"a_{c}") for c in cols], j)
+    right = r.select(*[F.col(c).alias(f"b_{c}") for c in cols], F.col("i").alias("j"))
+    # The structs are made after the join, so that taking their fields apart again needs no nested pruning.
+    pair = [F.struct(*[F.col(f"{side}_{c}").alias(c) for c in cols]).alias(side) for side in "ab"]
+    return left.join(right, "j").select(*pair)
 
 
 def kendall_tau_b(df: DataFrame, key: str, x: str, y: str) -> DataFrame:

@@ -21,8 +21,8 @@ def _counts(c: str) -> str:
 
 
 @query(f"""{_PAIRS}, w as (select id, {_words("answer")} as p, {_words("quote")} as r from pairs),
-    o as (select id, p, r, coalesce(list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(r, lambda y: y = x))))), 0)::double as both from w)
-    select id, case when len(p) > 0 and len(r) > 0 and both > 0 then 2 * (both / len(p)) * (both / len(r)) / (both / len(p) + both / len(r)) else 0.0 end as f1,
+    o as (select id, p, r, coalesce(list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(r, lambda y: y = x))))), 0)::double as n_both from w)
+    select id, case when len(p) > 0 and len(r) > 0 and n_both > 0 then 2 * (n_both / len(p)) * (n_both / len(r)) / (n_both / len(p) + n_both / len(r)) else 0.0 end as f1,
            (array_to_string(p, ' ') = array_to_string(r, ' '))::int::double as em from o""")
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of each pair's answer with its quote."""
@@ -112,8 +112,8 @@ def label_mask_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     n as (select count(*) as n from g),
     c as (select a.id, b.passage, b.p, a.p as ap, row_number() over (partition by a.id order by (b.p - a.p + n) % n) as r from g a cross join n join g b on (b.p - a.p + n) % n between 1 and 6 where a.k <> b.k),
     d as (select id, list(passage order by r) as ds from c where r <= 2 group by id),
-    x as (select g.*, coalesce(ds, []) as ds, {hash_sql(13, "g.id")} % (len(coalesce(ds, [])) + 1) as at from g left join d on g.id = d.id),
-    y as (select id, question, answer, quote, list_concat(list_concat(ds[1:at], [passage]), ds[at + 1:]) as docs from x)
+    x as (select g.*, coalesce(ds, []) as ds, {hash_sql(13, "g.id")} % (len(coalesce(ds, [])) + 1) as spot from g left join d on g.id = d.id),
+    y as (select id, question, answer, quote, list_concat(list_concat(ds[1:spot], [passage]), ds[spot + 1:len(ds)]) as docs from x)
     select id, sha256(array_to_string(list_transform(docs, lambda t, i: '[Document ' || i || ']' || chr(10) || t), chr(10) || chr(10)) || chr(10) || chr(10) || 'Question: ' || question) as user_hash,
         sha256('{T.QUOTE_OPEN} ' || quote || ' {T.QUOTE_CLOSE}' || chr(10) || answer) as answer_hash, len(docs)::integer as n_docs from y""")
 def raft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
