@@ -29,6 +29,11 @@ def not_blank(words: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
+def bound(c: Column, f) -> Column:
+    """f(c) with c worked out once: in a lambda of f, an expression in place of a value would be worked out for every element."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def tokens(c: Column) -> Column:
     """Words between white space, as they are."""
     return not_blank(F.split(text_or_empty(c), r"(?U)\s+"))
@@ -51,39 +56,59 @@ def content_words(c: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words joined by blanks; none if there are fewer."""
-    last = F.size(words) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(last >= 1, grams).otherwise(F.array().cast(STRINGS))
+
+    def runs(w: Column) -> Column:
+        last = F.size(w) - n + 1
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(last >= 1, grams).otherwise(F.array().cast(STRINGS))
+
+    return bound(words, runs)
 
 
 def windows(words: Column, size: int) -> Column:
     """Words cut into windows of `size`; the last may be shorter."""
-    n = F.size(words)
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size)), lambda i: F.slice(words, i + 1, size))
-    return F.when(n > 0, cut).otherwise(F.array().cast("array<array<string>>"))
+
+    def cut(w: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size)), lambda i: F.slice(w, i + 1, size))
+        return F.when(F.size(w) > 0, parts).otherwise(F.array().cast("array<array<string>>"))
+
+    return bound(words, cut)
 
 
 def counted(words: Column) -> Column:
     """Distinct words with their counts, from one sort: an array of (word, n)."""
-    sorted_ = F.array_sort(words)
-    n = F.size(words)
-    first = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (n > 0) & ((i == 1) | (F.element_at(sorted_, F.greatest(i - 1, F.lit(1))) != F.element_at(sorted_, i))))
-    ends = F.concat(F.slice(first, 2, F.greatest(F.size(first) - 1, F.lit(0))), F.array(n + 1))
-    return F.when(n > 0, F.zip_with(first, ends, lambda a, b: F.struct(F.element_at(sorted_, a).alias("word"), (b - a).alias("n")))).otherwise(F.array().cast("array<struct<word:string,n:int>>"))
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (n > 0) & ((i == 1) | (F.element_at(w, F.greatest(i - 1, F.lit(1))) != F.element_at(w, i))))
+
+        def lengths(first: Column) -> Column:
+            ends = F.concat(F.slice(first, 2, F.greatest(F.size(first) - 1, F.lit(0))), F.array(n + 1))
+            return F.zip_with(first, ends, lambda a, b: F.struct(F.element_at(w, a).alias("word"), (b - a).alias("n")))
+
+        return F.when(n > 0, bound(starts, lengths)).otherwise(F.array().cast("array<struct<word:string,n:int>>"))
+
+    return bound(F.array_sort(words), runs)
 
 
 def overlap(pred: Column, ref: Column) -> Column:
     """Size of the multiset intersection of two word lists."""
-    r = F.map_from_entries(counted(ref))
-    return F.aggregate(counted(pred), F.lit(0), lambda acc, x: acc + F.least(x["n"], F.coalesce(F.try_element_at(r, x["word"]), F.lit(0))))
+    shared = lambda r: F.aggregate(counted(pred), F.lit(0), lambda acc, x: acc + F.least(x["n"], F.coalesce(F.try_element_at(r, x["word"]), F.lit(0))))
+    return bound(F.map_from_entries(counted(ref)), shared)
 
 
 def token_f1(pred: Column, ref: Column) -> Column:
     """Harmonic mean of precision and recall over word multisets; 0 if either text has no words or none is shared."""
-    p, r = words_alnum(pred), words_alnum(ref)
-    both = overlap(p, r).cast("double")
-    f1 = 2 * (both / F.size(p)) * (both / F.size(r)) / (both / F.size(p) + both / F.size(r))
-    return F.when((F.size(p) > 0) & (F.size(r) > 0) & (both > 0), f1).otherwise(F.lit(0.0))
+
+    def of(x: Column) -> Column:
+        both, p, r = x["both"], x["p"], x["r"]
+        return F.when((p > 0) & (r > 0) & (both > 0), 2 * (both / p) * (both / r) / (both / p + both / r)).otherwise(F.lit(0.0))
+
+    def sized(x: Column) -> Column:
+        p, r = x["p"], x["r"]
+        return bound(F.struct(overlap(p, r).cast("double").alias("both"), F.size(p).alias("p"), F.size(r).alias("r")), of)
+
+    return bound(F.struct(words_alnum(pred).alias("p"), words_alnum(ref).alias("r")), sized)
 
 
 def exact_match(pred: Column, ref: Column) -> Column:
@@ -101,8 +126,8 @@ def numbers(c: Column) -> Column:
 
 def fabrication(pred: Column, ctx: Column) -> Column:
     """1 if a number of pred is neither a number of ctx nor part of its text, else 0."""
-    known, whole = numbers(ctx), norm_num(text_or_empty(ctx))
-    return F.exists(numbers(pred), lambda x: (x != "") & ~F.array_contains(known, x) & (F.instr(whole, x) == 0)).cast("double")
+    unknown = lambda c: F.exists(numbers(pred), lambda x: (x != "") & ~F.array_contains(c["known"], x) & (F.instr(c["whole"], x) == 0))
+    return bound(F.struct(numbers(ctx).alias("known"), norm_num(text_or_empty(ctx)).alias("whole")), unknown).cast("double")
 
 
 def abstains(c: Column) -> Column:
@@ -170,7 +195,7 @@ def gradeable(c: Column) -> Column:
         words = F.size(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("[a-z]{2,}"), F.lit(0))))
         return (F.length(t) >= 2) & (F.coalesce(most, F.lit(0)) <= F.length(t) * 0.5) & ((words >= 3) | ((F.length(t) <= 50) & t.rlike(r"[\p{L}\p{N}]")))
 
-    return F.transform(F.array(bare), worth)[0]
+    return bound(bare, worth)
 
 
 def hash_order(seed: int, *keys: Column) -> Column:
