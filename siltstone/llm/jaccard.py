@@ -13,7 +13,9 @@ other and so from any pivot document, which then tells nothing; the first pivots
 3. Voronoi regions. A region of one component is done. A small one has its pairs across components compared. In a
    larger one, up to PIVOTS members of different components become pivots, all members get their exact distance to
    each, go to the nearest and, by the triangle inequality, to every pivot not more than twice the threshold
-   farther off. The new regions are handled alike, until every region is within one component.
+   farther off. Pivots have then met all members of their region and leave it; the new regions, one for each pivot
+   whatever regions it was a pivot of, are handled alike with twice as many pivots, until every region is within one
+   component.
 
 Equal sets are one point. In each step candidates are (member, pivot) pairs, and pairs already in one component are
 never compared, so a group of n near copies takes about n comparisons. Regions are kept as (region, set) rows; large
@@ -38,8 +40,8 @@ from pyspark.sql.window import Window as W
 from .common import Stash, components
 from .words import U, mix, shingle_sets, signed, sums_by
 
-#: Members of a region whose pairs are compared as they are; pivots of a larger one; regions within regions.
-LEAF, PIVOTS, DEPTH = 24, 6, 6
+#: Members of a region whose pairs are compared as they are; pivots of a larger one in the first round.
+LEAF, PIVOTS = 24, 6
 SKETCH_BITS = 2_048
 #: Hashes by which a set with too many thin classes is projected.
 SEEDS = 12
@@ -276,8 +278,7 @@ def link_components(docs: DataFrame, k: int, percent: int, stash: Stash) -> tupl
         open_ = stash(at.join(mixed, "region"))
         if open_.limit(1).count() == 0:
             return points, roots
-        leaf = F.col("c") <= LEAF if depth < DEPTH else F.lit(True)
-        small, large = open_.where(leaf), open_.where(~leaf)
+        small, large = open_.where(F.col("c") <= LEAF), open_.where(F.col("c") > LEAF)
         sized = small.join(sizes, "sid")
         other = sized.select("region", F.col("sid").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
         todo = sized.withColumnRenamed("sid", "a").join(other, "region").where(
@@ -285,21 +286,21 @@ def link_components(docs: DataFrame, k: int, percent: int, stash: Stash) -> tupl
         ).select("a", "b")
         heads = large.groupBy("region", "root").agg(F.max("rank").alias("rank"))
         order = F.row_number().over(W.partitionBy("region").orderBy(F.desc("rank")))
-        heads = heads.withColumn("i", order).where(F.col("i") <= PIVOTS).select("region", F.col("rank.sid").alias("pivot"))
+        heads = heads.withColumn("i", order).where(F.col("i") <= PIVOTS << depth).select("region", F.col("rank.sid").alias("pivot"))
         to_pivot = stash(large.join(heads, "region").select("region", "sid", "rank", "pivot"))
         # Pivots need exact distances; of the others only the pairs that can link are compared.
         links = possible(todo.distinct().join(known, ["a", "b"], "left_anti"))
         exact = to_pivot.where("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).select(*ordered).join(known, ["a", "b"], "left_anti")
         todo = stash(links.unionByName(exact).distinct())
         new = stash(compared(todo))
-        known = stash(known.unionByName(new))
+        before, known = known, stash(known.unionByName(new))
         far = known.select("a", "b", "far")
         dist = to_pivot.withColumn("a", F.greatest("sid", "pivot")).withColumn("b", F.least("sid", "pivot")).join(far, ["a", "b"], "left")
         dist = dist.select("region", "sid", "rank", "pivot", F.coalesce("far", F.lit(0.0)).alias("far"))
-        home = dist.groupBy("region", "sid").agg(F.min("far").alias("home"))
-        inside = dist.join(home, ["region", "sid"]).where(F.col("far") <= F.col("home") + 2 * near + 1e-9)
-        last, ranked = ranked, stash(inside.select(F.xxhash64("region", "pivot").alias("region"), "sid", "rank"))
-        stash.drop(last, open_, to_pivot, todo, new)
+        home = dist.groupBy("region", "sid").agg(F.min("far").alias("home"), F.bool_or(F.col("sid") == F.col("pivot")).alias("done"))
+        inside = dist.join(home, ["region", "sid"]).where(~F.col("done") & (F.col("far") <= F.col("home") + 2 * near + 1e-9))
+        last, ranked = ranked, stash(inside.select(F.col("pivot").alias("region"), "sid", "rank").distinct())
+        stash.drop(last, open_, to_pivot, todo, new, before, roots)
         depth += 1
 
 

@@ -48,6 +48,27 @@ def test_jaccard_components_equal_brute_force(spark, docs):
     assert got == {i: (len(sets[i]), root[i]) for i in range(len(texts))}
 
 
+def test_jaccard_of_large_regions_equals_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    rng = random.Random(6)
+    base, texts = some_text(rng, 120, 10**6).split(" "), []
+    for _ in range(24):  # edits at places of their own: many pairs lie about the threshold
+        w = list(base)
+        for i in rng.sample(range(120), rng.randrange(1, 5)):
+            w[i] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [shingles(t, 4) for t in texts]
+    root, before = list(range(len(texts))), None
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 85 * len(a | b)]
+    while root != before:
+        before = list(root)
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    assert 1 < len(set(root)) < len(texts)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.joined(docs(texts), 4, 85).collect()} == dict(enumerate(root))
+
+
 def test_jaccard_of_no_rows(spark, docs):
     assert jaccard.joined(docs([]), 4, 85).count() == 0
 
