@@ -1,70 +1,52 @@
 """Cosine similarity: pairs over a threshold, order-true greedy near-duplicate removal, nearest distinct texts.
 
-Pairs come from a blocked exact search: rows travel in matrices of up to BLOCK rows, and each matrix pair is met once
-by an equi-join on block numbers that a bounded table lists, so no join is without a key. Work is the square of the
-rows by nature; beyond EXACT_ROWS rows bucketed_pairs() prunes by random projections and rechecks exactly."""
+Pairs come from a blocked exact search at every size: rows travel in blocks of about BLOCK rows, and each pair of
+blocks is met once, in strips of STRIP rows, by a grouping on block numbers, so no join is without a key. Work is the
+square of the rows by nature, and each row is sent once for each block."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-BLOCK = 2_000
-EXACT_ROWS = 200_000
+BLOCK, STRIP = 8_000, 1_000
 
 
 def blocks(df: DataFrame, id_col: str, vec_col: str, n_blocks: int) -> DataFrame:
-    return df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int").alias("b"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    return df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int").alias("b"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
 
 
 def pairs_over(df: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", rows: int | None = None) -> DataFrame:
-    """(i, j, sim) with i < j and dot product at least `threshold`, exact."""
+    """(i, j, sim) with i < j and dot product at least `threshold`, exact at every size."""
     rows = df.count() if rows is None else rows
-    if rows > EXACT_ROWS:
-        return bucketed_pairs(df, threshold, id_col, vec_col)
     n = max(1, -(-rows // BLOCK))
     b = blocks(df, id_col, vec_col, n)
     others = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = b.withColumn("o", others).withColumn("key", F.least("b", "o") * n + F.greatest("b", "o"))
+    left = b.withColumn("o", others).withColumn("key", F.least("b", "o").cast("long") * n + F.greatest("b", "o"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = key[0] // n, key[0] % n
         a, c = pdf[pdf.b == lo], pdf[pdf.b == hi]
-        if not len(a) or not len(c):
-            return pd.DataFrame({"i": [], "j": [], "sim": []}).astype({"i": "int64", "j": "int64", "sim": "float64"})
-        s = np.stack(a.v.to_numpy()) @ np.stack(c.v.to_numpy()).T
-        x, y = np.nonzero(s >= threshold)
-        i, j = a.id.to_numpy()[x], c.id.to_numpy()[y]
-        keep = i < j if lo == hi else i != j
-        i, j, s = i[keep], j[keep], s[x, y][keep]
-        return pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "sim": s})
+        found = [pd.DataFrame({"i": [], "j": [], "sim": []}).astype({"i": "int64", "j": "int64", "sim": "float64"})]
+        if len(a) and len(c):
+            m, other, a_id, c_id = matrix(a.v), matrix(c.v).T, a.id.to_numpy(), c.id.to_numpy()
+            for at in range(0, len(a), STRIP):
+                s = m[at : at + STRIP] @ other
+                x, y = np.nonzero(s >= threshold)
+                i, j = a_id[x + at], c_id[y]
+                keep = i < j if lo == hi else i != j
+                i, j, s = i[keep], j[keep], s[x, y][keep]
+                found.append(pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "sim": s}))
+        return pd.concat(found)
 
     return left.groupBy("key").applyInPandas(run, "i long, j long, sim double")
 
 
-def bucketed_pairs(df: DataFrame, threshold: float, id_col: str, vec_col: str, tables: int = 12, bits: int = 14, seed: int = 7) -> DataFrame:
-    """As pairs_over() by signed random projections: candidates share a bucket of some table; each is rechecked exactly, some are missed."""
-    src = df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m = np.stack(pdf.v.to_numpy())
-            planes = np.random.default_rng(seed).standard_normal((m.shape[1], tables * bits))
-            code = ((m @ planes) > 0).reshape(len(m), tables, bits) @ (1 << np.arange(bits))
-            for t in range(tables):
-                yield pd.DataFrame({"t": t, "code": code[:, t], "id": pdf.id, "v": pdf.v})
-
-    cells = src.mapInPandas(sign, "t int, code long, id long, v array<double>")
-    a, b = cells.select("t", "code", F.col("id").alias("i"), F.col("v").alias("v_i")), cells.select("t", "code", F.col("id").alias("j"), F.col("v").alias("v_j"))
-    dot = F.aggregate(F.zip_with("v_i", "v_j", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, ["t", "code"]).where("i < j").withColumn("sim", dot).where(F.col("sim") >= threshold).groupBy("i", "j").agg(F.max("sim").alias("sim"))
+def matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
 def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
