@@ -71,12 +71,47 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return nodes.join(dropped, nodes.columns[0] if nodes.columns[0] == "node" else nodes[nodes.columns[0]] == dropped["node"], "left_anti")
 
 
-def nearest_distinct(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """q, text_key, id, sim, rank: of each query's candidates (q, id, sim) the k best with distinct texts; ties to the smaller id.
+def nearest_distinct(vectors: DataFrame, texts: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", rows: int | None = None) -> DataFrame:
+    """q, text_key, id, sim, rank: of all other vectors the k of largest dot product (to six places) with distinct texts; ties to the smaller id.
 
-    texts: id, text_key, doc. Candidates of the query's own document or text are left out."""
-    own = texts.select(F.col("id").alias("q"), F.col("text_key").alias("q_key"), F.col("doc").alias("q_doc"))
-    c = pairs.join(texts, "id").join(own, "q").where("text_key <> q_key and doc <> q_doc")
-    best = c.groupBy("q", "text_key").agg(F.max(F.struct("sim", (-F.col("id")).alias("minus"))).alias("b"))
+    texts: id, text_key (32 bytes), doc. Candidates of the query's own document or text are left out. No similarity is
+    too low. A block's k best distinct texts of a query hold all of its rows that can be among the k best of all."""
+    rows = vectors.count() if rows is None else rows
+    n = max(1, -(-rows // BLOCK))
+    b = blocks(vectors, id_col, vec_col, n).join(texts.where("text_key is not null and doc is not null"), "id")
+    others = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = b.withColumn("o", others).withColumn("key", F.least("b", "o").cast("long") * n + F.greatest("b", "o"))
+
+    def best(asked: pd.DataFrame, pool: pd.DataFrame, found: list[pd.DataFrame]) -> None:
+        pool = pool.sort_values("id", kind="stable")  # the first of equal scores has the smallest id
+        names = pd.factorize(pd.concat([asked.text_key, pool.text_key]))[0].astype(np.int32)
+        own, theirs = names[: len(asked)], names[len(asked) :]
+        m, other = matrix(asked.v), matrix(pool.v).T
+        q, ids, q_doc, doc, keys = asked.id.to_numpy(), pool.id.to_numpy(), asked.doc.to_numpy(), pool.doc.to_numpy(), pool.text_key.to_numpy()
+        for at in range(0, len(asked), STRIP):
+            to = slice(at, at + STRIP)
+            s = m[to] @ other
+            s = np.copysign(np.floor(np.abs(s) * 1e6 + 0.5), s) / 1e6
+            s[(doc[None, :] == q_doc[to, None]) | (theirs[None, :] == own[to, None]) | (ids[None, :] == q[to, None]) | np.isnan(s)] = -np.inf
+            for _ in range(k):
+                top = s.argmax(axis=1)
+                x = np.flatnonzero(s[np.arange(len(s)), top] > -np.inf)
+                if not len(x):
+                    break
+                found.append(pd.DataFrame({"q": q[to][x], "text_key": keys[top[x]], "id": ids[top[x]], "sim": s[x, top[x]]}))
+                s[theirs[None, :] == theirs[top][:, None]] = -np.inf
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = key[0] // n, key[0] % n
+        a, c = pdf[pdf.b == lo], pdf[pdf.b == hi]
+        found = [pd.DataFrame({"q": [], "text_key": [], "id": [], "sim": []}).astype({"q": "int64", "text_key": "object", "id": "int64", "sim": "float64"})]
+        if len(a) and len(c):
+            best(a, c, found)
+            if lo != hi:
+                best(c, a, found)
+        return pd.concat(found)
+
+    c = left.groupBy("key").applyInPandas(run, "q long, text_key binary, id long, sim double")
+    one = c.groupBy("q", "text_key").agg(F.max(F.struct("sim", (-F.col("id")).alias("minus"))).alias("b"))
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "id"))
-    return best.select("q", "text_key", (-F.col("b.minus")).alias("id"), F.col("b.sim").alias("sim")).withColumn("rank", rank).where(F.col("rank") <= k)
+    return one.select("q", "text_key", (-F.col("b.minus")).alias("id"), F.col("b.sim").alias("sim")).withColumn("rank", rank).where(F.col("rank") <= k)
