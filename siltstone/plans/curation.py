@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -239,14 +240,19 @@ def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def deficit_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of three sources in the order of a deficit round robin (the schedule is a rule over the sources' counts)."""
+    """All documents in the order of a deficit round robin over their sources, null among them (the schedule is a rule over the sources' counts).
+
+    Sources outside the mix weigh as much as its mean; weights are then scaled to add up to 1."""
     mix = {"src0": 0.347, "src1": 0.342, "src2": 0.311}
-    d = S.corpus(spark, sf_dir).where(F.col("source").isin(*mix)).select("doc_id", "source")
+    d = S.corpus(spark, sf_dir).select("doc_id", "source")
     ranked = d.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy("doc_id")))
     counts = {r.source: r["count"] for r in d.groupBy("source").count().collect()}
-    plan = sampling.deficit_schedule(counts, mix)
-    schedule = spark.createDataFrame([(i, s, r) for i, (s, r) in enumerate(plan)] or [(0, "", 0)], "pos long, source string, rank int")
-    return schedule.join(ranked, ["source", "rank"]).select("pos", "source", "doc_id")
+    weights = {s: mix.get(s, sum(mix.values()) / len(mix)) for s in sorted(counts, key=lambda s: (s is None, s))}
+    plan = sampling.deficit_schedule(counts, {s: w / sum(weights.values()) for s, w in weights.items()})
+    columns = {"pos": pa.array(range(len(plan)), pa.int64()), "source": pa.array([s for s, _ in plan], pa.string()), "rank": pa.array([r for _, r in plan], pa.int32())}
+    schedule = spark.createDataFrame(pa.table(columns)).select("pos", F.col("source").alias("_source"), F.col("rank").alias("_rank"))
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("rank") == F.col("_rank"))
+    return schedule.join(ranked, same).select("pos", "source", "doc_id")
 
 
 @query("select 'qa' as task, ceil((10000 * 0.8 + 15000 * 0.4) / 0.55)::bigint as raw_target union all select 'unanswerable', ceil((10000 * 0.2 + 10000 * 0.8 * 0.1) / 0.55)::bigint union all select 'summarize', ceil(15000 * 0.25 / 0.55)::bigint union all select 'extract', ceil(15000 * 0.2 / 0.55)::bigint union all select 'rewrite', ceil(15000 * 0.15 / 0.55)::bigint")
