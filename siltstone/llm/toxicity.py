@@ -2,7 +2,8 @@
 
 A logistic model over the presence of words. In labelled texts that name a group, the group's term is swapped for
 each other term of its list, and the square of the score's change (before the logistic function) is added to the
-loss, so that which group is named can't move a score. It is fitted on the driver on at most TRAIN_ROWS labelled
+loss, so that which group is named can't move a score. Identity terms have no beginnings as features, so a swap changes
+the two terms' weights and nothing else. It is fitted on the driver on at most TRAIN_ROWS labelled
 rows, those of least hash, a bounded sample by design; scoring is one pass over all texts without a shuffle.
 
 Inputs of a score are the words of the whole text alone. Null and empty texts get the score of a text without
@@ -48,17 +49,22 @@ class Model:
     keys: np.ndarray  # sorted word hashes
     weights: np.ndarray
     bias: float
+    identity: tuple[tuple[str, ...], ...] = IDENTITY
 
 
-def words_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows lo to hi, the hashes of their words (letters and digits, lower case) and of longer words' beginnings joined up, the offsets of the rows."""
+def words_of(texts: pa.Array, identity=IDENTITY) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows lo to hi, the hashes of their words (letters and digits, lower case) and of longer words' beginnings joined up, the offsets of the rows.
+
+    Identity terms give no beginnings."""
+    terms = np.sort(np.concatenate([np.zeros(0, np.uint64), *(hash_of(g) for g in identity)]))
     for lo, hi, raw, at in chunks(texts):
         starts, ends, of = bounds(raw, at, MARKS)
         h = word_hashes(raw, starts, ends)
         rows = np.searchsorted(of, np.arange(len(starts)), "right") - 1
         parts, where = [h], [rows]
+        open_ = np.searchsorted(terms, h, "left") == np.searchsorted(terms, h, "right")
         for n in BEGINNINGS:
-            longer = np.flatnonzero(ends - starts > n)
+            longer = np.flatnonzero((ends - starts > n) & open_)
             parts.append(word_hashes(raw, starts[longer], starts[longer] + n))
             where.append(rows[longer])
         row = np.concatenate(where)
@@ -84,7 +90,7 @@ def sample(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, h, of in words_of(batch.column(0)):
+            for lo, hi, h, of in words_of(batch.column(0), identity):
                 own = [np.unique(h[a:b]) for a, b in zip(of[:-1], of[1:], strict=True)]
                 edge = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
                 ids = [int(mix(x.sum(dtype=np.uint64)[None] + np.uint64(len(x))).view(np.int64)[0]) for x in own]
@@ -116,13 +122,13 @@ def sample(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, held
 
 
 def fit(rows: list[tuple[np.ndarray, int]], identity=IDENTITY) -> Model:
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
+    empty = Model(np.zeros(0, np.uint64), np.zeros(0), -40.0, identity)
     y = np.array([v for _, v in rows], float)
     if len(rows) == 0 or y.min() == y.max():
         return empty
     flat = np.concatenate([h for h, _ in rows])
     if not len(flat):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(y.mean() / (1 - y.mean()))))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(y.mean() / (1 - y.mean()))), identity)
     of = np.repeat(np.arange(len(rows)), [len(h) for h, _ in rows])
     keys, where, n = np.unique(flat, return_inverse=True, return_counts=True)
     pos = np.bincount(where, weights=y[of], minlength=len(keys))
@@ -131,11 +137,11 @@ def fit(rows: list[tuple[np.ndarray, int]], identity=IDENTITY) -> Model:
     groups = [hash_of(g) for g in identity]
     chosen = (n >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z) | np.isin(keys, np.concatenate(groups))
     if not chosen.any():
-        return Model(keys[:0], np.zeros(0), float(np.log(p / (1 - p))))
+        return Model(keys[:0], np.zeros(0), float(np.log(p / (1 - p))), identity)
     keys, number = keys[chosen], np.cumsum(chosen) - 1
     inside = chosen[where]
     col, row = number[where[inside]], of[inside]
-    # Swapping term a for term b of its list, b not in the text, changes the score by w_b - w_a.
+    # Swapping term a for term b of its list changes the score by w_b - w_a, or by -w_a where b is in the text already.
     pairs: dict[tuple[int, int], int] = {}
     index = {k: i for i, k in enumerate(keys.tolist())}
     names = {h: g for g, hs in enumerate(groups) for h in hs.tolist()}
@@ -143,8 +149,8 @@ def fit(rows: list[tuple[np.ndarray, int]], identity=IDENTITY) -> Model:
     for i in hits.tolist():
         own, term = set(rows[of[i]][0].tolist()), int(flat[i])
         for other in groups[names[term]].tolist():
-            if other not in own:
-                a, b = index[term], index.get(other, -1)  # a term met in no text has weight 0
+            if other != term:
+                a, b = index[term], -1 if other in own else index.get(other, -1)  # a term met in no text has weight 0
                 pairs[a, b] = pairs.get((a, b), 0) + 1
     a = np.array([k[0] for k in pairs], int)
     b = np.array([k[1] for k in pairs], int)
@@ -163,12 +169,12 @@ def fit(rows: list[tuple[np.ndarray, int]], identity=IDENTITY) -> Model:
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-9)
         w, bias = w - move[:-1], bias - float(move[-1])
-    return Model(keys, w, bias)
+    return Model(keys, w, bias, identity)
 
 
 def scores(texts: pa.Array, model: Model) -> np.ndarray:
     out = np.empty(len(texts))
-    for lo, hi, h, of in words_of(texts):
+    for lo, hi, h, of in words_of(texts, model.identity):
         total = np.full(hi - lo, model.bias)
         if len(model.keys) and len(h):
             at = np.minimum(np.searchsorted(model.keys, h), len(model.keys) - 1)
