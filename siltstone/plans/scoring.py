@@ -117,18 +117,32 @@ def label_mask_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     select id, sha256(array_to_string(list_transform(docs, lambda t, i: '[Document ' || i || ']' || chr(10) || t), chr(10) || chr(10)) || chr(10) || chr(10) || 'Question: ' || question) as user_hash,
         sha256('{T.QUOTE_OPEN} ' || quote || ' {T.QUOTE_CLOSE}' || chr(10) || answer) as answer_hash, len(docs)::integer as n_docs from y""")
 def raft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each qa pair among two distractors: the next ones in a hashed ring with another text, the golden one at a hashed place.
+    """Each qa pair among two distractors: the next two texts in a hashed ring that differ from its own and from each other, the golden one at a hashed place.
 
-    A ring keeps the choice linear: every pair looks at six followers, found by their place."""
+    Every pair looks at six followers, found by their place; those that lack a text look eight times as far, until none does."""
     from ..operators.sampling import positions
 
     qa = S.pairs(spark, sf_dir).where("task = 'qa'").withColumn("k", F.sha2(T.norm(F.col("passage")), 256))
     ring = positions(qa, T.hash_order(11, F.col("id")), "id", "p")
-    n = ring.agg(F.count("*").alias("n")).first()["n"] or 1
-    steps = F.explode(F.sequence(F.lit(1), F.lit(max(1, min(6, n - 1)))))
-    ask = ring.select("id", F.col("k").alias("own"), F.col("p").alias("ap")).withColumn("step", steps).withColumn("p", (F.col("ap") + F.col("step")) % n)
-    found = ask.join(ring.select("p", "k", F.col("passage").alias("other")), "p").where("k <> own and p <> ap")
-    picked = found.groupBy("id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("step", "other"))), 1, 2), lambda s: s["other"]).alias("ds"))
+    n, texts = ring.agg(F.count("*"), F.countDistinct("k")).first()
+    ask, reach, chosen = ring.select("id", F.col("k").alias("own"), F.col("p").alias("ap")), min(6, n - 1), None
+    while reach > 0 and texts > 1:
+        steps = ask.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(reach)))).withColumn("p", (F.col("ap") + F.col("step")) % n)
+        first = steps.join(ring.select("p", "k"), "p").where("k <> own").groupBy("id", "own", "ap", "k").agg(F.min(F.struct("step", "p")).alias("s"))
+        near = F.slice(F.array_sort(F.collect_list("s")), 1, 2)
+        got = first.groupBy("id").agg(near.alias("s")).select("id", F.posexplode("s").alias("at", "s")).select("id", "at", "s.p").persist()
+        whole = got.groupBy("id").count().where(F.col("count") >= min(2, texts - 1)).select("id")
+        last = reach >= n - 1
+        part = got if last else got.join(whole, "id", "left_semi")
+        chosen = part if chosen is None else chosen.unionByName(part)
+        ask = ask.join(whole, "id", "left_anti").persist()
+        if last or ask.isEmpty():
+            break
+        reach = min(8 * reach, n - 1)
+    if chosen is None:
+        chosen = ring.limit(0).select("id", F.lit(0).alias("at"), "p")
+    named = chosen.join(ring.select("p", F.col("passage").alias("other")), "p")
+    picked = named.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "other"))), lambda x: x["other"]).alias("ds"))
     full = ring.join(picked, "id", "left").withColumn("ds", F.coalesce("ds", F.array().cast("array<string>")))
     docs = A.insert_at(F.col("ds"), T.hash_order(13, F.col("id")), F.col("passage"))
     return full.withColumn("docs", docs).select("id", F.sha2(A.documents_user(F.col("docs"), F.col("question")), 256).alias("user_hash"), F.sha2(A.quoted_answer(F.col("quote"), F.col("answer")), 256).alias("answer_hash"), F.size("docs").alias("n_docs"))
