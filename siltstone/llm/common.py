@@ -7,18 +7,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED = "file:///tmp/siltstone-shared"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a default where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine gets a folder of that machine; any other is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = DEFAULT_SHARED
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        folder = "file:///tmp/siltstone-shared"
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -35,11 +37,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Stash:
-    """Tables written to the shared folder, which cut lineage and outlive executors; close() drops those no longer wanted."""
+    """Tables written to the shared folder, which cut lineage and outlive executors; drop() deletes those no longer wanted.
+
+    What a result still reads stays in the shared folder, as checkpoints do."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, new_folder(spark, name), 0
-        self.paths: dict[int, str] = {}
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -47,7 +50,6 @@ class Stash:
         schema = df.schema
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
-        self.paths[id(out)] = path
         out._stash_path = path
         return out
 
@@ -57,34 +59,51 @@ class Stash:
                 remove(self.spark, path)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as keep it apart from the columns of df, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def components(edges: DataFrame, stash: Stash) -> DataFrame:
     """Connected components of (a, b) long edges, any size, without gathering them: (node, root), root the least node.
 
     Alternates large-star and small-star rounds (each node hands its neighbours to its least one) until the
     edges stop changing; every round is a grouped aggregate and a join on the node, which the shuffle spreads.
     Repeated edges, loops and nulls are ignored. An empty input gives an empty result."""
-    e = edges.where("a is not null and b is not null and a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    ).distinct()
-    e = stash(e)
-    while True:
+    e = stash(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not is_star_forest(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        large = stash(large)
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").select(
-            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-        ).distinct()
-        small = stash(small)
-        # A fixed point is a star forest: no node is both a child and a parent, and none has two parents.
-        n, kids = small.agg(F.count("*"), F.count_distinct("a")).first()
-        deep = 0 if n != kids else small.join(small.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
-        stash.drop(e, large)
-        e = small
-        if n == kids and not deep:
-            break
+        small = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        before, e = e, stash(small)
+        stash.drop(before)
     roots = e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def is_star_forest(edges: DataFrame) -> bool:
+    """Whether no node of the distinct (a, b) edges has two parents b, or both a child and a parent."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
+def merged(roots: DataFrame | None, links: DataFrame, stash: Stash) -> DataFrame:
+    """(node, root) with more (a, b) links: only components of the old roots are sought, so old links are never walked again."""
+    if roots is None:
+        return stash(components(links, stash))
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
+    lifted = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    up = stash(components(lifted.select(F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b")), stash))
+    moved = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    out = stash(moved.unionByName(up.join(roots.select("node"), "node", "left_anti")))
+    stash.drop(up)
+    return out

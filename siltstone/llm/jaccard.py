@@ -1,30 +1,35 @@
 """N-gram Jaccard join in the metric space of shingle sets, exact, with connected components.
 
 The Jaccard distance d = 1 - |x & y| / |x | y| is a metric. Documents of a corpus mostly lie at distance 1 from each
-other and so from any pivot document, which then tells nothing; the first pivots are therefore taken in projections.
-
-1. Rings. Sizes of linked sets differ by a bounded ratio, so sets go to geometric bands of size, those near a
-   band's upper edge to the next band as well (the triangle inequality against the empty set's complement).
-2. Projected regions. In a band, two linked sets differ in at most D shingles. The shingles are hashed into K > D
-   classes; |x \\ y| + |y \\ x| is the sum over the classes, so in at least K - D of them the projections are equal,
-   at distance 0 from the same pivot. Each distinct projection is a pivot, its region the sets that project on it.
-   Classes of too few shingles say little and are left out; a set with so many of them that a link could rest on
-   these alone is projected again with another hash, the last time with all classes.
-3. Voronoi regions. A region of one component is done. A small one has its pairs across components compared. In a
-   larger one, up to PIVOTS members of different components become pivots, all members get their exact distance to
-   each, go to the nearest and, by the triangle inequality, to every pivot not more than twice the threshold
-   farther off. Pivots have then met all members of their region and leave it; the new regions, one for each pivot
-   whatever regions it was a pivot of, are handled alike with twice as many pivots, until every region is within one
-   component.
-
-Equal sets are one point. In each step candidates are (member, pivot) pairs, and pairs already in one component are
-never compared, so a group of n near copies takes about n comparisons. Regions are kept as (region, set) rows; large
-ones are combined within map tasks before they travel, and no region is ever gathered.
+other and so from any pivot document, which then tells nothing; the first regions are therefore formed in projections.
+
+1. Bands. Sizes of linked sets differ by a bounded ratio, so sets go to geometric bands of size, and to each next band
+   that a set linked with them can lie in (the triangle inequality against the empty set).
+2. Projected regions. A set of n shingles and one linked with it differ in at most D(n) shingles. The shingles are
+   hashed into more than D classes, and the set goes to a region for each of its first D + 1 classes that hold enough
+   shingles, keyed by the class's content. Of any D + 1 classes one has equal content in both sets, at distance 0 from
+   that projection. A set with too few full classes is projected again with another hash; what is left after SEEDS
+   hashes, and bands for which no number of classes will do, go to a region for each of the n - ceil(n * percent / 100)
+   + 1 least shingles. In each projection a few more regions than that are taken (`spare`): two linked sets then share
+   spare + 1 of them, so a set that has no more than `spare` regions of over HOT members leaves these (what many texts
+   have in common makes them) and still meets every set it links with. Regions of the same members are one region.
+3. Voronoi regions. First every set is compared with the most central pivot of its regions, which joins most groups
+   of copies. A region that still holds more than one component is joined recursively: some members become pivots, all
+   members go to the nearest pivot and, by the triangle inequality, to every pivot not more than twice the greatest
+   linked distance farther off, and each part is joined likewise. Parts of up to LEAF sets are joined within a task;
+   larger ones are split by pivots in a pass over all tasks, or by blocks of components where pivots would copy the
+   members more than they part them.
+
+Distances within regions are those of sketches: for SKETCH_BITS classes of shingles whether their number is odd. The bits
+in which two sketches differ are a metric too and at most |x \\ y| + |y \\ x|, so linked sets are near in it; the pairs it
+leaves are compared exactly, on whole sets. Equal sets are one point. Pairs known to be in one component are never
+compared, so a group of n near copies takes about n comparisons. Components are merged from new links alone. Regions
+are kept as (region, set) rows; large ones are combined within map tasks before they travel, and none is gathered whole.
 
 A text of fewer than k words has its word sequence as the one shingle; null, empty and blank texts have none and
 link with nothing. Repeated rows link with each other. A null doc_id is a row like others (and the component's id
 only if all its ids are null). Empty tables give empty results. Only doc_id and text are read; keep_one() passes all
-columns. Sets are compared by 64-bit hashes of their shingles."""
+columns, whatever their names. Sets are compared by 64-bit hashes of their shingles."""
 
 from __future__ import annotations
 
@@ -37,67 +42,96 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Stash, components
+from .common import Stash, fresh_names, merged
 from .words import U, mix, shingle_sets, signed, sums_by
 
-#: Members of a region whose pairs are compared as they are; pivots of a larger one in the first round.
-LEAF, PIVOTS = 24, 6
+#: Members of a region that sets avoid if they can.
+HOT = 32
+#: Members of a region that is joined within a task, pivots of a larger one, copies of a member that a pass by pivots may make.
+LEAF, PIVOTS, COPIES = 1_024, 16, 2
+#: Within a task: members of a part whose pairs are compared as they are, pivots of a larger one.
+PART, PART_PIVOTS = 48, 6
 SKETCH_BITS = 2_048
-#: Hashes by which a set with too many thin classes is projected.
-SEEDS = 12
-#: Sets up to which their ids (16 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_SETS = 500_000
+#: Hashes by which a set with too few full classes is projected.
+SEEDS = 3
+#: Rows (16 bytes each) up to which ids are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
-class Rings:
-    """Bands of set sizes and the projections of each: edge, classes, how small a thin class is, how many are allowed."""
+class Bands:
+    """Bands of set sizes (edges), and for each the number of classes and the size up to which a class is too thin. No classes: prefixes alone.
+
+    Bits 1 to 9 of a region's key say which projection it is of, bit 0 is free."""
 
     def __init__(self, percent: int):
         self.percent = percent
+        times = 2.0 if percent >= 84 else 1.5
         edge = [1]
         while edge[-1] < 1 << 40:
-            edge.append(max(edge[-1] + 1, -(-edge[-1] * 5 // 4)))
+            edge.append(max(edge[-1] + 1, int(edge[-1] * times)))
         self.edge = np.array(edge, np.int64)
-        found = [self._band(lo, hi - 1) for lo, hi in zip(edge, edge[1:], strict=False)]
-        self.classes, self.spare, self.thin = (np.array(x, np.int64) for x in zip(*found, strict=True))
-
-    def _band(self, lo: int, most: int) -> tuple[int, int, int]:
-        """Classes, spare ones and size of a thin class: so many to spare that few sets have more thin classes (Poisson's law for the smallest set)."""
-        differ = (100 - self.percent) * 2 * most // (100 + self.percent)
+        found = [self._classes(lo, hi - 1) for lo, hi in zip(edge, edge[1:], strict=False)]
+        self.classes, self.thin = (np.array(x, np.int64) for x in zip(*found, strict=True))
+        self.spare = np.maximum(2, self.differ(self.edge[:-1]) // 8)
+        #: Of prefixes, linked sets share so many at all sizes only where a large part must be equal.
+        self.prefix_spare = 2 if percent >= 80 else 0
+
+    def limits(self) -> list[int]:
+        """By projection, how many of its regions a set may leave."""
+        return [*np.repeat(self.spare, SEEDS).tolist(), self.prefix_spare]
+
+    def differ(self, n):
+        """The most shingles in which a set of n and one linked with it differ."""
+        return (n + n * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
+
+    def _classes(self, lo: int, most: int) -> tuple[int, int]:
+        """The fewest classes of which sets of all sizes have enough full ones, by Poisson's law with two deviations to spare."""
         least = max(1, lo * self.percent // 100)
-        for thin in (1, 0) if differ >= 8 else (0,):
-            spare = differ // 8
-            for _ in range(40):
-                k = differ + 1 + spare
-                mean = least / k
-                expected = k * math.exp(-mean) * (1 + mean * thin)
-                if spare >= expected + 3 * math.sqrt(expected) or differ < 8:
-                    return k, spare, thin
-                spare = spare + 1 + spare // 16
-                if spare > differ:
-                    break
-        return differ + 1 + differ // 4, differ // 4, 0
+        sizes = sorted({min(most, max(least, round(least * (most / least) ** (i / 7)))) for i in range(8)})
+        top = self.differ(most)
+        for thin in (1, 0) if top >= 8 else (0,):
+            k = top + 1
+            while k <= 3 * top + 16:
+                short = ((n, math.exp(-n / k) * (1 + n / k * thin)) for n in sizes)
+                if all(k * (1 - q) - 2 * math.sqrt(k * q * (1 - q)) >= self.differ(n) + 1 + max(2, self.differ(lo) // 8) for n, q in short):
+                    return k, thin
+                k += 1 + k // 32
+        return 0, 0
 
     def cells(self, sets: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(key, id) of every region of every non-empty set; keys are even."""
+        """(key, id) of every region of every set that may link with a different one; bit 0 of the keys is 0."""
         n = np.diff(offsets)
-        own = np.flatnonzero(n > 0)
+        own = np.flatnonzero((n > 0) & (self.differ(n) > 0))
         band = np.searchsorted(self.edge, n[own], "right") - 1
-        up = n[own] * 100 >= self.percent * self.edge[band + 1]
-        keys, owners = [], []
-        # A set near the upper edge of its band can link with sets of the next one.
-        for rows, bands in ((own, band), (own[up], band[up] + 1)):
+        last = np.searchsorted(self.edge, n[own] * 100 // self.percent, "right") - 1
+        keys, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        rest = [np.zeros(0, np.int64)]
+        for up in range(int((last - band).max(initial=0)) + 1):
+            some = last - band >= up
+            rows, bands = own[some], band[some] + up
+            none = self.classes[bands] == 0
+            rest.append(rows[none])
+            rows, bands = rows[~none], bands[~none]
             for seed in range(SEEDS):
                 if not len(rows):
                     break
-                k, who, again = self._project(sets, offsets, rows, bands, seed)
-                keys.append(k)
+                key, who, again = self._project(sets, offsets, rows, bands, seed)
+                keys.append(key)
                 owners.append(ids[rows[who]])
                 rows, bands = rows[again], bands[again]
-        return np.concatenate([np.zeros(0, U), *keys]), np.concatenate([np.zeros(0, np.int64), *owners])
+            rest.append(rows)
+        rows = np.unique(np.concatenate(rest))
+        many = np.minimum(n[rows], n[rows] + n[rows] * -self.percent // 100 + 1 + self.prefix_spare)  # sets are sorted, so these are their least shingles
+        at = np.repeat(offsets[rows] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
+        keys.append(self._key(mix(sets[at] + U(0xD1B54A32D192ED03)), np.full(len(at), len(self.spare) * SEEDS)))
+        owners.append(np.repeat(ids[rows], many))
+        return np.concatenate(keys), np.concatenate(owners)
+
+    def _key(self, hashes: np.ndarray, projection: np.ndarray) -> np.ndarray:
+        return hashes & ~U(1023) | projection.astype(U) << U(1)
 
     def _project(self, sets, offsets, rows, bands, seed):
-        """Keys of the classes of each row, the row of each key, and the rows to be projected anew."""
+        """Keys of the first full classes of each row, the row of each key, and the rows to be projected anew."""
         size = offsets[rows + 1] - offsets[rows]
         of = np.repeat(np.arange(len(rows)), size)
         at = np.repeat(offsets[rows] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
@@ -110,28 +144,18 @@ class Rings:
         new = np.ones(len(g), bool)
         new[1:] = (of[1:] != of[:-1]) | (which[1:] != which[:-1])
         first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(g)))
-        total = sums_by(mix(g), np.append(first, len(g)))
+        end = np.append(first, len(g))
         who, which = of[first], which[first]
-        full = count > self.thin[bands][who]
-        solid = np.bincount(who[full], minlength=len(rows))
-        again = self.classes[bands] - solid > self.spare[bands]
-        if seed == SEEDS - 1:
-            # The last projection: thin classes count as well, and the empty ones of sets that have them.
-            full |= again[who]
-            extra_who, extra_which = [], []
-            for i in np.flatnonzero(again):
-                none = np.setdiff1d(np.arange(self.classes[bands[i]], dtype=U), which[who == i])
-                extra_who.append(np.full(len(none), i))
-                extra_which.append(none)
-            more = sum(map(len, extra_who))
-            who = np.concatenate([who, *extra_who]).astype(np.int64)
-            which = np.concatenate([which, *extra_which]).astype(U)
-            total, full = np.concatenate([total, np.zeros(more, U)]), np.concatenate([full, np.ones(more, bool)])
-            again = np.zeros(len(rows), bool)
-        who, which, total = who[full], which[full], total[full]
-        tag = bands.astype(U)[who] * U(SEEDS) + U(seed)
-        return mix(total + mix(which * U(0x9FB21C651E98DF25) + tag)) & ~U(1), who, again
+        full = np.diff(end) > self.thin[bands][who]
+        wanted = self.differ(size) + 1 + self.spare[bands]
+        place = np.cumsum(full) - 1
+        begin = np.concatenate([[0], np.cumsum(np.bincount(who[full], minlength=len(rows)))])
+        again = np.diff(begin) < wanted
+        take = np.flatnonzero(full)
+        take = take[place[take] - begin[who[take]] < wanted[who[take]]]
+        total = sums_by(mix(g), end)
+        projection = bands[who[take]] * SEEDS + seed
+        return self._key(mix(total[take] + mix(which[take] * U(0x9FB21C651E98DF25) + projection.astype(U))), projection), who[take], again
 
 
 def set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -158,7 +182,7 @@ def regions(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     Within a task, the members of a region are told apart at once and only one of them travels by the region's key,
     so a region of any size sends at most a row a batch to one place."""
-    rings = Rings(percent)
+    bands = Bands(percent)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot: list[tuple[np.ndarray, np.ndarray]] = []
@@ -176,7 +200,7 @@ def regions(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([signed(key[lo : lo + 200_000]), pa.array(sid[lo : lo + 200_000])], ["key", "sid"])
 
         for _, _, sets, offsets, ids in set_rows(batches, k):
-            got = rings.cells(sets, offsets, ids)
+            got = bands.cells(sets, offsets, ids)
             lot.append(got)
             held += len(got[0])
             if held > 1_500_000:
@@ -210,11 +234,20 @@ def regions(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return found.repartition(place).sortWithinPartitions("key", "sid").mapInArrow(survivors, "region long, sid long")
 
 
-def point_sets(docs: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """sid, n, set (array<long>), sketch of the points (sid, doc_id of one of its rows).
+def avoided(members: DataFrame, percent: int) -> DataFrame:
+    """region, sid of members without those rows of large regions that their set can do without."""
+    count = members.groupBy("region").agg(F.count("*").alias("c"))
+    limit = F.array(*[F.lit(x) for x in Bands(percent).limits()])
+    projection = F.shiftright("region", 1).bitwiseAND(F.lit(511)).cast("int")
+    sized_ = members.join(count, "region").withColumn("projection", projection)
+    large = sized_.where(F.col("c") > HOT)
+    leave = large.groupBy("sid", "projection").agg(F.count("*").alias("h")).where(F.col("h") <= F.element_at(limit, F.col("projection") + 1)).select("sid", "projection")
+    kept = large.join(leave, ["sid", "projection"], "left_anti")
+    return sized_.where(F.col("c") <= HOT).select("region", "sid").unionByName(kept.select("region", "sid"))
 
-    The sketch holds, for SKETCH_BITS classes of shingles, whether their number is odd. Two sets differ in at least as
-    many shingles as their sketches in bits."""
+
+def point_sets(docs: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """sid, n, set (array<long>), sketch of the points (sid, doc_id of one of its rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, sets, offsets, ids in set_rows(batches, k):
@@ -226,82 +259,218 @@ def point_sets(docs: DataFrame, points: DataFrame, k: int) -> DataFrame:
             marks = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(bits.reshape(-1)))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), signed(sets)), marks], ["sid", "n", "set", "sketch"])
 
-    few = points.count() <= BROADCAST_SETS
-    hint = F.broadcast if few else (lambda df: df)
-    wanted = docs.join(hint(points.select(F.col("doc_id").alias("_p"))), F.col("doc_id").eqNullSafe(F.col("_p")), "left_semi")
+    hint = sized(points)
+    own = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
+    wanted = own.join(hint(points.select(F.col("doc_id").alias("p"))), F.col("doc_id").eqNullSafe(F.col("p")), "left_semi")
     sets = wanted.select("text").mapInArrow(run, "sid long, n long, set array<long>, sketch array<long>")
     return sets.join(hint(points.select("sid")), "sid", "left_semi").dropDuplicates(["sid"])
 
 
+def sized(rows: DataFrame):
+    """broadcast for few rows, else nothing."""
+    return F.broadcast if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
+
+
+def one_each(members: DataFrame) -> DataFrame:
+    """Of regions (region, sid, ...) with the same members one, with their number c."""
+    h = lambda *x: F.bit_xor(F.xxhash64("sid", *x))
+    marks = members.groupBy("region").agg(F.count("*").alias("c"), h().alias("x"), h(F.lit(1)).alias("y"))
+    return members.join(marks.where("c > 1").groupBy("c", "x", "y").agg(F.min("region").alias("region")).select("region", "c"), "region")
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The bits in which each line of x differs from each line of y."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    for word in range(x.shape[1]):
+        out += np.bitwise_count(x[:, word, None] ^ y[None, :, word])
+    return out
+
+
+def near_pairs(marks: np.ndarray, n: np.ndarray, root: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Lines i, j of a region's sets (sketches, sizes, roots) that may link: a recursive Voronoi join on the sketches."""
+    percent = bands.percent
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    todo = [np.arange(len(n))]
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        both = n[i][:, None] + n[j][None, :]
+        fits = np.minimum(n[i][:, None], n[j][None, :]) * 100 >= percent * np.maximum(n[i][:, None], n[j][None, :])
+        fits &= (root[i][:, None] != root[j][None, :]) & (i[:, None] < j[None, :])
+        if fits.any():
+            x, y = np.nonzero(fits & (apart(marks[i], marks[j]) * (100 + percent) <= (100 - percent) * both))
+            found.append((i[x], j[y]))
+
+    while todo:
+        at = todo.pop()
+        if len(np.unique(root[at])) < 2:
+            continue
+        if len(at) <= PART:
+            compare(at, at)
+            continue
+        # How far from each set one that it links with can be; pivots are taken far from each other.
+        most = bands.differ(n[at])
+        pivots = [0]
+        dist = apart(marks[at], marks[at[:1]])
+        for _ in range(PART_PIVOTS - 1):
+            pivots.append(int(dist.min(axis=1).argmax()))
+            dist = np.concatenate([dist, apart(marks[at], marks[at[pivots[-1:]]])], axis=1)
+        inside = dist <= (dist.min(axis=1) + 2 * most)[:, None]
+        if inside.sum() <= 2 * len(at) and inside.sum(axis=0).max() < len(at):
+            todo += [at[inside[:, k]] for k in range(len(pivots))]
+            continue
+        # Too near each other for regions: in the order of distances to one pivot, each set meets those within the window.
+        order = np.argsort(dist[:, 0], kind="stable")
+        line, far, most = at[order], dist[order, 0], most[order]
+        for lo in range(0, len(line), PART):
+            end = int(np.searchsorted(far, (far[lo : lo + PART] + most[lo : lo + PART]).max(), "right"))
+            some, later = line[lo : lo + PART], line[lo:end]
+            compare(some, later)
+            compare(later[PART:], some)
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j
+
+
+def joined_regions(members: DataFrame, percent: int) -> DataFrame:
+    """a > b of the members (region, sid, n, root, sketch) of small regions that may link."""
+
+    bands = Bands(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+
+        def pairs(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            region, sid, n, root = (t.column(c).to_numpy() for c in ("region", "sid", "n", "root"))
+            marks = t.column("sketch").combine_chunks().flatten().to_numpy().view(U).reshape(len(n), -1)
+            edge = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(n))
+            out = [np.zeros((2, 0), np.int64)]
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                i, j = near_pairs(marks[lo:hi], n[lo:hi], root[lo:hi], bands)
+                out.append(np.stack([sid[lo + i], sid[lo + j]]))
+            both = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[1]), pa.array(both[0])], ["a", "b"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            kept = t if kept is None else pa.concat_tables([kept, t])
+            region = kept.column("region").to_numpy()
+            cut = int(np.searchsorted(region, region[-1])) if len(region) else 0
+            if cut:
+                yield pairs(kept.slice(0, cut))
+                kept = kept.slice(cut)
+        if kept is not None and len(kept):
+            yield pairs(kept)
+
+    by_region = members.select("region", "sid", "n", "root", "sketch").repartition("region").sortWithinPartitions("region")
+    return by_region.mapInArrow(run, "a long, b long").distinct()
+
+
+def voronoi_parts(large: DataFrame, percent: int) -> DataFrame:
+    """whole, region, sid: the Voronoi regions that PIVOTS members of each region (whole) make, members near a border in both."""
+    turn = F.row_number().over(W.partitionBy("region", "root").orderBy("rank"))
+    place = F.row_number().over(W.partitionBy("region").orderBy("turn", "rank"))
+    ranked = large.select("region", "root", "sid", "sketch", F.xxhash64("sid").alias("rank"))
+    heads = ranked.withColumn("turn", turn).where(F.col("turn") <= PIVOTS).withColumn("place", place).where(F.col("place") <= PIVOTS)
+    heads = heads.groupBy("region").agg(F.flatten(F.collect_list("sketch")).alias("marks"))  # PIVOTS sketches
+    bands = Bands(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            region, sid, n = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            most = bands.differ(n)
+            out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for i in range(len(region)):
+                own = np.array(batch.column(3)[i].values).view(U)[None, :]
+                far = apart(own, np.array(batch.column(4)[i].values).view(U).reshape(-1, own.shape[1]))[0]
+                near = np.flatnonzero(far <= far.min() + 2 * most[i])
+                out.append((np.full(len(near), i), near))
+            at, pivot = (np.concatenate(x) for x in zip(*out, strict=True))
+            part = mix(region[at].view(U) + mix(pivot.astype(U) + U(1))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(region[at]), pa.array(part), pa.array(sid[at])], ["whole", "region", "sid"])
+
+    return large.join(heads, "region").select("region", "sid", "n", "sketch", "marks").mapInArrow(run, "whole long, region long, sid long")
+
+
+def block_parts(large: DataFrame) -> DataFrame:
+    """region, sid of pairs of blocks of each region: blocks of large components, and of small ones together, but for pairs within one component."""
+    most = LEAF // 2
+    parts = lambda c: F.ceil(F.col(c) / most)
+    comps = large.groupBy("region", "root").agg(F.count("*").alias("c_root"))
+    rest = comps.where(F.col("c_root") <= most).groupBy("region").agg(F.sum("c_root").alias("c_rest"))
+    with_sizes = large.select("region", "sid", "root").join(comps, ["region", "root"]).join(rest, "region", "left")
+    whole = F.when(F.col("c_root") > most, F.col("root"))  # a block of one component
+    block = F.when(whole.isNotNull(), F.xxhash64("root", F.pmod(F.xxhash64("sid"), parts("c_root")))).otherwise(F.pmod(F.xxhash64("root"), parts("c_rest")))
+    at = with_sizes.select("region", "sid", block.alias("block"), whole.alias("whole"))
+    blocks = at.select("region", "block", "whole").distinct()
+    other = blocks.select("region", F.col("block").alias("block2"), F.col("whole").alias("whole2"))
+    pairs = blocks.join(other, "region").where((F.col("block") <= F.col("block2")) & (F.col("whole").isNull() | F.col("whole2").isNull() | (F.col("whole") != F.col("whole2"))))
+    pairs = pairs.select("region", F.xxhash64("region", "block", "block2").alias("part"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    return at.join(pairs, ["region", "block"]).select(F.col("part").alias("region"), "sid")
+
+
 def link_components(docs: DataFrame, k: int, percent: int, stash: Stash) -> tuple[DataFrame, DataFrame]:
-    """measured() rows, and (node, root) of the sets that link with another."""
+    """measured() rows, and (node, root) of the sets that link with another, both written by stash."""
     points = stash(measured(docs, k))
     members = stash(regions(docs, k, percent).distinct())
-    spark = docs.sparkSession
-    if members.limit(1).count() == 0:
-        return points, spark.createDataFrame([], "node long, root long")
-    # A set that meets many others in its regions is central; central sets make good pivots.
-    crowd = members.groupBy("region").agg(F.count("*").alias("c"))
-    central = members.join(crowd, "region").groupBy("sid").agg(F.sum("c").alias("weight"))
-    ranked = stash(members.join(central, "sid").select("region", "sid", F.struct("weight", "sid").alias("rank")))
+    single = stash(one_each(avoided(members, percent)))
     stash.drop(members)
+    # A set that meets many others in its regions is central; central sets make good pivots.
+    central = single.groupBy("sid").agg(F.struct(F.sum("c").alias("weight"), "sid").alias("rank"))
+    ranked = stash(single.join(central, "sid").select("region", "sid", "rank"))
+    stash.drop(single)
     wanted = ranked.select("sid").distinct()
     sets = stash(point_sets(docs, points.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), k))
-    sizes = sets.select("sid", "n")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches leave room for a link; the others can't have one."""
         a = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
         b = sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-        apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         fits = F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")
-        return pairs.join(a, "a").join(b, "b").where(fits & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(fits & (bits * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """a, b, far (the distance), link of distinct pairs."""
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (a, b) that link, by their whole sets."""
         a = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("set_a"))
         b = sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set_b"))
         both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-        union = F.col("n_a") + F.col("n_b") - F.col("both")
-        return pairs.join(a, "a").join(b, "b").withColumn("both", both).select("a", "b", (1 - F.col("both") / union).alias("far"), (100 * F.col("both") >= percent * union).alias("link"))
+        met = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", both.alias("both"))
+        return met.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
-    ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
     pivot = ranked.groupBy("region").agg(F.max("rank").alias("pivot"))
-    pairs = ranked.join(pivot, "region").groupBy("sid").agg(F.max("pivot").alias("p")).select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).where("a <> b")
-    known = stash(compared(stash(possible(pairs.select(*ordered).distinct()))))
-    depth = 0
-    near = 1 - percent / 100
-    while True:
-        roots = stash(components(known.where("link"), stash))
-        at = ranked.join(roots, F.col("sid") == F.col("node"), "left").select("region", "sid", "rank", F.coalesce("root", "sid").alias("root"))
-        mixed = at.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).where("r0 < r1").select("region", "c")
-        open_ = stash(at.join(mixed, "region"))
-        if open_.limit(1).count() == 0:
-            return points, roots
-        small, large = open_.where(F.col("c") <= LEAF), open_.where(F.col("c") > LEAF)
-        sized = small.join(sizes, "sid")
-        other = sized.select("region", F.col("sid").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-        todo = sized.withColumnRenamed("sid", "a").join(other, "region").where(
-            (F.least("n", "n_b") * 100 >= percent * F.greatest("n", "n_b")) & (F.col("a") > F.col("b")) & (F.col("root") != F.col("root_b"))
-        ).select("a", "b")
-        heads = large.groupBy("region", "root").agg(F.max("rank").alias("rank"))
-        order = F.row_number().over(W.partitionBy("region").orderBy(F.desc("rank")))
-        heads = heads.withColumn("i", order).where(F.col("i") <= PIVOTS << depth).select("region", F.col("rank.sid").alias("pivot"))
-        to_pivot = stash(large.join(heads, "region").select("region", "sid", "rank", "pivot"))
-        # Pivots need exact distances; of the others only the pairs that can link are compared.
-        links = possible(todo.distinct().join(known, ["a", "b"], "left_anti"))
-        exact = to_pivot.where("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).select(*ordered).join(known, ["a", "b"], "left_anti")
-        todo = stash(links.unionByName(exact).distinct())
-        new = stash(compared(todo))
-        before, known = known, stash(known.unionByName(new))
-        far = known.select("a", "b", "far")
-        dist = to_pivot.withColumn("a", F.greatest("sid", "pivot")).withColumn("b", F.least("sid", "pivot")).join(far, ["a", "b"], "left")
-        dist = dist.select("region", "sid", "rank", "pivot", F.coalesce("far", F.lit(0.0)).alias("far"))
-        home = dist.groupBy("region", "sid").agg(F.min("far").alias("home"), F.bool_or(F.col("sid") == F.col("pivot")).alias("done"))
-        inside = dist.join(home, ["region", "sid"]).where(~F.col("done") & (F.col("far") <= F.col("home") + 2 * near + 1e-9))
-        last, ranked = ranked, stash(inside.select(F.col("pivot").alias("region"), "sid", "rank").distinct())
-        stash.drop(last, open_, to_pivot, todo, new, before, roots)
-        depth += 1
+    first = ranked.join(pivot, "region").groupBy("sid").agg(F.max("pivot").alias("p")).select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).where("a <> b")
+    first = stash(possible(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
+    roots = merged(None, linked(first), stash)
+
+    def opened(at: DataFrame) -> DataFrame:
+        """region, sid, root, n, sketch, c (the region's members) of the regions that hold several components."""
+        rooted = at.join(roots, F.col("sid") == F.col("node"), "left").select("region", "sid", F.coalesce("root", "sid").alias("root"))
+        several = rooted.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).where("r0 < r1").select("region", "c")
+        return rooted.join(several, "region").join(sets.select("sid", "n", "sketch"), "sid")
+
+    def small(at: DataFrame) -> DataFrame:
+        return stash(joined_regions(at.where(F.col("c") <= LEAF), percent))
+
+    def blocks(at: DataFrame) -> DataFrame:
+        return stash(joined_regions(opened(block_parts(at).distinct()), percent))
+
+    at = stash(opened(ranked.select("region", "sid")))
+    near = [small(at)]
+    large = at.where(F.col("c") > LEAF)
+    if not large.isEmpty():
+        parts = stash(voronoi_parts(large, percent))
+        copied = parts.groupBy("whole").agg(F.count("*").alias("rows"), F.count_distinct("sid").alias("sets")).where(F.col("rows") > COPIES * F.col("sets")).select(F.col("whole").alias("region"))
+        near.append(blocks(large.join(copied, "region", "left_semi")))
+        parted = parts.join(copied.withColumnRenamed("region", "whole"), "whole", "left_anti").select("region", "sid").distinct()
+        inner = stash(opened(one_each(parted).drop("c")))
+        near += [small(inner), blocks(inner.where(F.col("c") > LEAF))]
+        stash.drop(parts, inner)
+    pairs = near[0]
+    for more in near[1:]:
+        pairs = pairs.unionByName(more)
+    roots = merged(roots, linked(pairs.distinct()), stash)
+    stash.drop(ranked, sets, first, at, *near)
+    return points, roots
 
 
 def joined(docs: DataFrame, k: int = 5, percent: int = 80, stash: Stash | None = None) -> DataFrame:
@@ -320,17 +489,24 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, stash: Stash | None
     stash = stash or Stash(docs.sparkSession, "jaccard")
     points, roots = link_components(docs, k, percent, stash)
     rows = points.where("n > 0").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "sid", F.coalesce("root", "sid").alias("root"))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("_best"), F.col("best.sid").alias("_sid"))
-    names = docs.columns
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")
+    best = rows.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("c")).where("c > 1").select("root", "best")
+    # What goes are rows other than the best; they are fewer than those that stay.
+    gone = rows.join(best, "root").where(order != F.col("best")).select(F.col("doc_id").alias("gone_id"), F.col("sid").alias("gone_set")).distinct()
+    gone = stash(gone)
+    repeated = not points.where("n > 0").groupBy("doc_id", "sid").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    stash.drop(points, roots)
+    names, ddl = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    text, key, size, gone_id, gone_set = fresh_names(docs, "text0", "set", "n", "gone_id", "gone_set")
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lo, _, offsets, ids in set_rows(batches, k):
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, len(ids)) for i in range(1, len(names) + 1)), pa.array(ids), pa.array(np.diff(offsets))], [*names, "_set", "_n"])
-
-    tagged = docs.select(docs["text"].alias("_first"), *[docs[c] for c in names]).mapInArrow(tag, f"{ddl}, _set long, _n long")
-    kept = tagged.where("_n > 0").join(best, F.col("doc_id").eqNullSafe(F.col("_best")) & (F.col("_set") == F.col("_sid")), "left_semi")
-    if points.where("n > 0").groupBy("doc_id", "sid").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "_set"])  # rows repeated with their id
-    return kept.unionByName(tagged.where("_n = 0")).select(*names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, len(ids)) for i in range(1, len(names) + 1)), pa.array(ids), pa.array(np.diff(offsets))], [*names, key, size])
+
+    tagged = docs.select(docs["text"].alias(text), *[docs[f"`{c}`"] for c in names]).mapInArrow(tag, f"{ddl}, `{key}` long, `{size}` long")
+    gone = sized(gone)(gone.select(F.col("gone_id").alias(gone_id), F.col("gone_set").alias(gone_set)))
+    kept = tagged.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_set)), "left_anti")
+    if repeated:
+        with_set = kept.where(F.col(size) > 0).dropDuplicates(["doc_id", key])  # rows repeated with their id
+        kept = with_set.unionByName(kept.where(F.col(size) == 0))
+    return kept.select(*[F.col(f"`{c}`") for c in names])
