@@ -5,12 +5,13 @@ of some window of shared - gram + 1 runs. Any passage of `shared` words holds a
 keeps the suffix at the same place. Kept suffixes meet by the hash of their first `gram` words; what meets nothing in
 another text is gone before any words travel. The rest come with their words around, sorted as suffixes; neighbours
 are compared to the right and left, and a match of at least `shared` words in all is repeated. In buckets of more
-than two suffixes the neighbour on the right side need not be the best on the left one, so there all windows of
-`shared` words around the minimiser are compared besides, sorted likewise. Longer passages come together from their
+than two suffixes the neighbour on the right side need not be the best on the left one, so there lines are sorted once
+more by the words before them read backwards, and agree in both orders. Longer passages come together from their
 overlapping parts.
 
-Buckets of over HOT suffixes (a passage in very many texts) are not gathered: their windows become rows, and sums of
-least and greatest text by window, taken within tasks first, tell what repeats. All of that is exact.
+Buckets of over HOT suffixes (a passage in very many texts) are not gathered, as one task could not hold them: they are
+split by the windows of `shared` words around the minimiser. Windows of one key are told apart within map tasks, which
+send one row a key and lot on; the result is the same.
 
 Words are those of `words`. Null and short texts have no suffixes; a passage repeated only within one row doesn't
 count, in two rows (also rows equal in all columns but doc_id) it does; rows equal in doc_id and text count as one.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -29,7 +31,8 @@ from pyspark.sql.window import Window as W
 from .common import Stash
 from .words import BASE, INVERSE, U, bounds, chunks, grams, mix, powers, signed, word_hashes
 
-HOT = 4_000
+#: Suffixes of a bucket that one task gathers.
+HOT = 50_000
 
 
 def slide(x: np.ndarray, n: int, take) -> np.ndarray:
@@ -80,13 +83,25 @@ def window_hashes(words: np.ndarray, left: int, shared: int) -> np.ndarray:
     return mix((sums[:, s + shared] - sums[:, s]) * powers(INVERSE, n + 1)[s][None, :])
 
 
+def common(words: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """How many words each line begins with like the line before it; -1 for the first one and where `apart`."""
+    same = words[1:] == words[:-1]
+    n = np.argmin(np.append(same, np.zeros((len(same), 1), bool), axis=1), axis=1)
+    return np.concatenate([[-1], np.where(apart, -1, n)])
+
+
 def repeats_of(h: np.ndarray, row: np.ndarray, before: np.ndarray, after: np.ndarray, words: np.ndarray, left: int, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of whole buckets, sorted by h and then as suffixes: lines, words before and behind the suffix's start that repeat."""
+    """Of whole buckets, sorted by h and then as suffixes: lines, words before and behind the suffix's start that repeat.
+
+    A bucket of two has one pair of neighbours, matched to the right and to the left. In larger ones the best match to
+    the right need not be the best to the left: lines are sorted once as suffixes and once by the words before them
+    read backwards, and common beginnings of neighbours say in each order which lines agree in so many words. Lines
+    that agree in a words to the left and shared - a to the right repeat a passage."""
     n = len(h)
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     size = np.diff(np.append(first, n))
-    i = np.arange(n - 1)
-    i = i[(h[1:] == h[:-1]) & (row[1:] != row[:-1])]
+    i = first[size == 2]
+    i = i[row[i] != row[i + 1]]
     same = words[i] == words[i + 1]
     right = np.minimum(np.argmin(np.append(same[:, left:], np.zeros((len(i), 1), bool), axis=1), axis=1), np.minimum(after[i], after[i + 1]))
     back = np.minimum(np.argmin(np.append(same[:, :left][:, ::-1], np.zeros((len(i), 1), bool), axis=1), axis=1), np.minimum(before[i], before[i + 1]))
@@ -94,22 +109,43 @@ def repeats_of(h: np.ndarray, row: np.ndarray, before: np.ndarray, after: np.nda
     line, lo, hi = [np.concatenate([i[good], i[good] + 1])], [np.tile(back[good], 2)], [np.tile(right[good], 2)]
     many = np.flatnonzero(np.repeat(size > 2, size))
     if len(many):
-        keys = mix(window_hashes(words[many], left, shared) + h[many].view(U)[:, None])
+        own, r, w = h[many], row[many], words[many]
+        ahead = common(w[:, left:], own[1:] != own[:-1])
+        backwards = w[:, :left][:, ::-1]
+        order = np.lexsort([*backwards.T[::-1], own])
+        behind = common(backwards[order], own[order][1:] != own[order][:-1])
+        least, most = np.full(len(many), left + 1), np.full(len(many), -1)
         for a in range(left + 1):
+            right_class, left_class = np.cumsum(ahead < shared - a), np.empty(len(many), np.int64)
+            left_class[order] = np.cumsum(behind < a)
             fits = np.flatnonzero((before[many] >= a) & (after[many] >= shared - a))
-            order = fits[np.argsort(keys[fits, a], kind="stable")]
-            k, r = keys[order, a], row[many][order]
+            key = (right_class * (len(many) + 1) + left_class)[fits]
+            by = np.argsort(key, kind="stable")
+            k, at = key[by], fits[by]
             if not len(k):
                 continue
             edge = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            two = np.minimum.reduceat(r, edge) < np.maximum.reduceat(r, edge)
-            hit = order[np.repeat(two, np.diff(np.append(edge, len(k))))]
-            line.append(many[hit])
-            lo.append(np.full(len(hit), a))
-            hi.append(np.full(len(hit), shared - a))
+            two = np.minimum.reduceat(r[at], edge) < np.maximum.reduceat(r[at], edge)
+            hit = at[np.repeat(two, np.diff(np.append(edge, len(k))))]
+            least[hit], most[hit] = np.minimum(least[hit], a), a
+        # All of a line's passages hold its first words, so together they are one stretch.
+        hit = np.flatnonzero(most >= 0)
+        line.append(many[hit])
+        lo.append(most[hit])
+        hi.append(shared - least[hit])
     return np.concatenate(line), np.concatenate(lo), np.concatenate(hi)
 
 
+def stretches(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of spans of equal length, the first line of each run that overlaps or touches within a row, and the run's end."""
+    if not len(row):
+        return np.zeros(0, np.int64), stop
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order], stop[order]
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] > stop[:-1])))
+    return order[first], np.maximum.reduceat(stop, first)
+
+
 def repeated_passages(docs: DataFrame, shared: int = 50, gram: int = 20, stash: Stash | None = None) -> DataFrame:
     """doc_id, start_word, end_word, n_words: the stretches of each text made of runs of `shared` words that another text has too."""
     stash = stash or Stash(docs.sparkSession, "suffixes")
@@ -193,21 +229,80 @@ def repeated_passages(docs: DataFrame, shared: int = 50, gram: int = 20, stash:
             yield done(pa.Table.from_batches(held))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows told apart within the task (spans, kind 2), and of each key one that travels: kind 1 if its window is told, else 0."""
+        lot: list[tuple] = []
+        held = 0
+
+        def out(at: np.ndarray, key, doc, none, row, start, stop, kind) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(doc[at], mask=none[at]), pa.array(row[at]), pa.array(start[at].astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(kind.astype(np.int8))],
+                ["key", "doc_id", "row", "start", "stop", "kind"],
+            )
+
+        def told() -> Iterator[pa.RecordBatch]:
+            key, doc, none, row, start = (np.concatenate(x) for x in zip(*lot, strict=True))
+            order = np.lexsort((row, key))
+            key, doc, none, row, start = key[order], doc[order], none[order], row[order], start[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(first, len(key)))
+            two = row[first] < row[first + size - 1]
+            hit = np.flatnonzero(np.repeat(two, size))
+            at, stop = stretches(row[hit], start[hit], start[hit] + shared)
+            yield out(hit[at], np.zeros(len(at), U), doc, none, row, start, stop, np.full(len(at), 2))
+            go = np.flatnonzero(np.repeat(~two, size))
+            for at, kind in ((go, 0), (first[two], 1)):
+                for lo in range(0, len(at), 200_000):
+                    part = at[lo : lo + 200_000]
+                    yield out(part, key[part], doc, none, row, start, start[part] + shared, np.full(len(part), kind))
+
         for doc_id, row, at, h, before, after, words in lines(batches):
             keys = mix(window_hashes(words, left, shared) + h.view(U)[:, None])
-            for a in range(left + 1):
-                fits = np.flatnonzero((before >= a) & (after >= shared - a))
-                take = pa.array(fits)
-                yield pa.RecordBatch.from_arrays([signed(np.ascontiguousarray(keys[fits, a])), doc_id.take(take), row.take(take), pa.array((at[fits] - a).astype(np.int32))], ["key", "doc_id", "row", "start"])
+            a = np.arange(left + 1)
+            i, a = np.nonzero((before[:, None] >= a) & (after[:, None] >= shared - a))
+            none = doc_id.is_null().to_numpy(zero_copy_only=False)
+            lot.append((keys[i, a], doc_id.fill_null(0).to_numpy()[i], none[i], row.to_numpy()[i], at[i] - a))
+            held += len(i)
+            if held > 1_000_000:
+                yield from told()
+                lot, held = [], 0
+        if held:
+            yield from told()
+
+    def met_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by key and row: spans told before, and windows that a second row has; a run is held until it ends, one row a task and lot."""
+        kept: pa.Table | None = None
+        names = ["doc_id", "row", "start", "stop"]
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            done = t.filter(pc.equal(t.column("kind"), 2))
+            yield from done.select(names).combine_chunks().to_batches()
+            t = t.filter(pc.less(t.column("kind"), 2))
+            kept = t if kept is None else pa.concat_tables([kept, t])
+            key = kept.column("key").to_numpy()
+            if len(key):
+                cut = int(np.searchsorted(key, key[-1]))
+                yield from runs(kept.slice(0, cut)).select(names).combine_chunks().to_batches()
+                kept = kept.slice(cut)
+        if kept is not None:
+            yield from runs(kept).select(names).combine_chunks().to_batches()
+
+    def runs(t: pa.Table) -> pa.Table:
+        key, row, kind = (t.column(c).to_numpy() for c in ("key", "row", "kind"))
+        if not len(key):
+            return t
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(key)))
+        two = (row[first] < row[first + size - 1]) | (np.maximum.reduceat(kind, first) > 0)
+        return t.filter(pa.array(np.repeat(two, size) & (kind == 0)))
 
     own_repeats = own.groupBy("doc_id", "row").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
     line = "h long, doc_id long, row long, at int, before int, after int, suffix binary, ahead binary"
     cold = suffixes(places.where("not hot"), wide, line).repartition("h").sortWithinPartitions("h", "suffix", "row")
     found = cold.mapInArrow(neighbours, spans)
     if met.where("hot").limit(1).count():
-        hot = suffixes(places.where("hot"), windows, "key long, doc_id long, row long, start int")
-        twice = hot.groupBy("key").agg(F.min("row").alias("r0"), F.max("row").alias("r1")).where("r0 < r1").select("key")
-        found = found.unionByName(hot.join(twice, "key", "left_semi").select("doc_id", "row", "start", (F.col("start") + shared).alias("stop")))
+        hot = suffixes(places.where("hot"), windows, "key long, doc_id long, row long, start int, stop int, kind byte")
+        place = F.when(F.col("kind") == 2, F.col("row")).otherwise(F.col("key"))
+        found = found.unionByName(hot.repartition(place).sortWithinPartitions("key", "row").mapInArrow(met_windows, spans))
     order = W.partitionBy("doc_id", "row").orderBy("start", "stop")
     behind = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
     new = F.coalesce((F.col("start") > behind).cast("int"), F.lit(1))
