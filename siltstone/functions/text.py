@@ -176,6 +176,14 @@ def escaped(c: Column) -> Column:
     return t
 
 
+def clean_terms(c: Column, terms: dict[str, str]) -> Column:
+    """Terms replaced one after the other, as they stand."""
+    t = text_or_empty(c)
+    for a, b in terms.items():
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return t
+
+
 def bold_html(c: Column) -> Column:
     return F.regexp_replace(c, r"\*\*(.+?)\*\*", "<strong>$1</strong>")
 
@@ -186,14 +194,16 @@ def clamp(c: Column, most: int) -> Column:
 
 
 def gradeable(c: Column) -> Column:
-    """Whether an answer is worth a grader's time: not one letter over and over, some words or a short value."""
-    bare = F.trim(F.regexp_replace(text_or_empty(c), r"[\x00-\x1f\x7f]", ""))
+    """Whether an answer is worth a grader's time: not one letter over and over, some words or a short value.
+
+    Control characters but tab and newline go, then blanks at both ends."""
+    bare = F.regexp_replace(F.regexp_replace(text_or_empty(c), r"[\x00-\x08\x0b-\x1f]", ""), r"(?U)^\s+|\s+$", "")
 
     def worth(t: Column) -> Column:
         # t is a bound value here: the clean text is made once, not again for each of its letters.
         most = F.array_max(F.transform(F.array_distinct(F.split(t, "")), lambda x: F.length(t) - F.length(F.replace(t, x, F.lit("")))))
-        words = F.size(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("[a-z]{2,}"), F.lit(0))))
-        return (F.length(t) >= 2) & (F.coalesce(most, F.lit(0)) <= F.length(t) * 0.5) & ((words >= 3) | ((F.length(t) <= 50) & t.rlike(r"[\p{L}\p{N}]")))
+        words = F.size(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit("[A-Za-z]{2,}"), F.lit(0)), F.lower)))
+        return (F.length(t) >= 2) & (F.coalesce(most, F.lit(0)) <= F.length(t) * 0.5) & ((words >= 3) | ((F.length(t) <= 50) & t.rlike("[A-Za-z0-9]")))
 
     return bound(bare, worth)
 

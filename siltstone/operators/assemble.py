@@ -83,6 +83,22 @@ def loss_mask(messages: Column, words, most: int) -> Column:
     return F.slice(F.flatten(F.transform(messages, one)), 1, most)
 
 
+def gemma_mask(messages: Column, words) -> Column:
+    """Of render_gemma()'s tokens by `words`, -100 for all up to the last model turn's beginning, 1 behind it."""
+    text = render_gemma(messages)
+    mark = "<start_of_turn>model\n"
+    answer = F.substring_index(text, mark, -1)
+    before = F.size(words(text)) - F.size(words(answer))
+    return F.concat(F.array_repeat(F.lit(-100), before), F.array_repeat(F.lit(1), F.size(words(answer))))
+
+
+def preference(kept: DataFrame) -> DataFrame:
+    """Triplets (prompt, chosen, rejected, meta) of confirmed preferences."""
+    prompt = F.array(turn("system", F.lit(SYS_GROUNDED)), turn("user", grounded_user(F.col("passage"), F.col("question"))))
+    meta = F.struct("source", F.col("margin").alias("judge_margin"), "prompt_id")
+    return kept.select(prompt.alias("prompt"), "chosen", "rejected", meta.alias("meta"))
+
+
 def preference_rows(prefs: DataFrame) -> DataFrame:
     """Two rows for each triplet, chosen and rejected as the assistant's turn."""
     both = F.array(F.struct(F.lit("chosen").alias("side"), F.col("chosen").alias("reply")), F.struct(F.lit("rejected").alias("side"), F.col("rejected").alias("reply")))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..functions.text import ABSTAIN, content_words, norm, text_or_empty, tokens
+from ..functions.text import ABSTAIN, content_words, hash_order, norm, text_or_empty, tokens
 
+# Phrases by which a question shows that it is about a text at hand; tasks that are not questions.
 SELF_REFERENCES = ("the passage", "the text", "the document", "as stated above")
 AUX_TASKS = ("summarize", "extract", "rewrite")
 
@@ -73,5 +73,20 @@ def without_done(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame
     return work.join(done.select(*keys), keys, "left_anti")
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def blind_verdicts(prompts: DataFrame, seed: int) -> DataFrame:
+    """prompt_id, chosen_wins, margin of a stand-in judge that sees the sides swapped by a hash and names the better side."""
+    h = lambda n: hash_order(n, F.col("prompt_id"))
+    swapped = h(seed) % 2 == 0
+    better = F.when((h(6) % 4 != 0) == swapped, F.lit("B")).otherwise(F.lit("A"))
+    return prompts.select("prompt_id", (better == F.when(swapped, F.lit("B")).otherwise(F.lit("A"))).alias("chosen_wins"), (h(5) % 3 + 2).cast("int").alias("margin"))
+
+
+def keep_pref(raw: DataFrame, verdicts: DataFrame, least: int = 3, key: str = "prompt_id") -> DataFrame:
+    """Preferences that the judge confirmed by a margin of `least` or more, with the margin."""
+    return raw.join(verdicts.where(F.col("chosen_wins") & (F.col("margin") >= least)).select(key, "margin"), key)
+
+
+def without_sibling(files: DataFrame, key: str, better: Column) -> DataFrame:
+    """Rows of a key that has a better one go, the better ones stay."""
+    have = files.where(better).select(F.col(key).alias("_k")).distinct()
+    return files.where(better).unionByName(files.where(~better).join(have, F.col(key) == F.col("_k"), "left_anti"))

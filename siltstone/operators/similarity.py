@@ -1,8 +1,8 @@
 """Cosine similarity: pairs over a threshold, order-true greedy near-duplicate removal, nearest distinct texts.
 
-Pairs come from a blocked exact search at every size: rows travel in blocks of about BLOCK rows, and each pair of
-blocks is met once, in strips of STRIP rows, by a grouping on block numbers, so no join is without a key. Work is the
-square of the rows by nature, and each row is sent once for each block."""
+Pairs come from a blocked exact search at every size: rows travel in blocks of BLOCK rows or, where there are many, of up
+to LARGE, and each pair of blocks is met once, in strips of STRIP rows, by a grouping on block numbers, so no join is
+without a key. Work is the square of the rows by nature, and each row is sent once for each block."""
 
 from __future__ import annotations
 
@@ -12,17 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-BLOCK, STRIP = 8_000, 1_000
+BLOCK, LARGE, STRIP = 8_000, 32_000, 500
+#: Blocks up to which they stay small, for the sake of tasks side by side.
+BLOCKS = 32
 
 
 def blocks(df: DataFrame, id_col: str, vec_col: str, n_blocks: int) -> DataFrame:
     return df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int").alias("b"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
 
 
+def blocks_of(rows: int) -> int:
+    """Into how many blocks rows go: fewer and larger ones for large tables, so that rows are sent less often."""
+    return max(1, min(-(-rows // BLOCK), max(BLOCKS, -(-rows // LARGE))))
+
+
 def pairs_over(df: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", rows: int | None = None) -> DataFrame:
     """(i, j, sim) with i < j and dot product at least `threshold`, exact at every size."""
     rows = df.count() if rows is None else rows
-    n = max(1, -(-rows // BLOCK))
+    n = blocks_of(rows)
     b = blocks(df, id_col, vec_col, n)
     others = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = b.withColumn("o", others).withColumn("key", F.least("b", "o").cast("long") * n + F.greatest("b", "o"))
@@ -77,7 +84,7 @@ def nearest_distinct(vectors: DataFrame, texts: DataFrame, k: int, id_col: str =
     texts: id, text_key (32 bytes), doc. Candidates of the query's own document or text are left out. No similarity is
     too low. A block's k best distinct texts of a query hold all of its rows that can be among the k best of all."""
     rows = vectors.count() if rows is None else rows
-    n = max(1, -(-rows // BLOCK))
+    n = blocks_of(rows)
     b = blocks(vectors, id_col, vec_col, n).join(texts.where("text_key is not null and doc is not null"), "id")
     others = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = b.withColumn("o", others).withColumn("key", F.least("b", "o").cast("long") * n + F.greatest("b", "o"))

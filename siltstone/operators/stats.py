@@ -1,34 +1,87 @@
 """Statistics over scored items: bootstrap intervals, paired differences, rank tests, agreement, corrections.
 
-Resampling uses hashes in place of a generator: draw i of replicate b is item hash(seed, b, i) mod n, so every
-engine finds the same replicates. Small-sample p-values are plain functions for the few rows that reports have."""
+Resampling n items with replacement is a multinomial draw over the items' distinct values, so replicates are drawn
+from counts of values: exact in law, with work by the number of distinct values and not of items. Columns that name
+groups may not be null; null values don't count."""
 
 from __future__ import annotations
 
 import math
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import hash_order
+#: Distinct values that one task draws at once, and replicates.
+VALUES, REPLICATES = 4_096, 250
+
+
+def replicates(items: DataFrame, by: list[str], value: str, n_boot: int, seed: int) -> DataFrame:
+    """by, replicate, replicate_mean: means of resampled items. Draws are dealt to chunks of values first, then to the values of each chunk."""
+    counts = items.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("item_value")).agg(F.count("*").alias("items"))
+    most = counts.groupBy(*by).agg(F.count("*").alias("values")).agg(F.max("values")).first()[0] or 0
+    counts = counts.withColumn("value_chunk", F.pmod(F.xxhash64("item_value"), F.lit(max(1, -(-most // VALUES)))))
+    blocks = F.sequence(F.lit(0), F.lit(-(-n_boot // REPLICATES) - 1))
+    totals = counts.groupBy(*by, "value_chunk").agg(F.sum("items").alias("chunk_items")).withColumn("replicate_block", F.explode(blocks))
+    of = items.select(*by).schema
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in of.fields)
+
+    def rng(*key) -> np.random.Generator:
+        return np.random.Generator(np.random.Philox(key=[seed, zlib.crc32(repr(key).encode())]))
+
+    def dealt(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("value_chunk")
+        n, block = rows["chunk_items"].to_numpy(), int(key[-1])
+        k = rng(*map(str, key)).multinomial(int(n.sum()), n / n.sum(), size=min(REPLICATES, n_boot - block * REPLICATES))
+        return rows[[*by, "value_chunk", "replicate_block"]].assign(draws=list(k.T))
+
+    def drawn(key: tuple, values: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        values = values.sort_values("item_value")
+        v, share, out = values["item_value"].to_numpy(), values["items"].to_numpy() / values["items"].sum(), []
+        for block, k in sorted(zip(draws["replicate_block"], draws["draws"], strict=True), key=lambda x: x[0]):
+            s = rng(*map(str, key), int(block), "values").multinomial(np.asarray(k), share) @ v
+            out.append(pd.DataFrame({"replicate": block * REPLICATES + np.arange(len(s)), "drawn": s}))
+        found = pd.concat(out)
+        for name, x in zip(by, key, strict=False):
+            found[name] = x
+        return found[[*by, "replicate", "drawn"]]
+
+    deals = totals.groupBy(*by, "replicate_block").applyInPandas(dealt, f"{names}, value_chunk long, replicate_block int, draws array<long>")
+    sums = counts.groupBy(*by, "value_chunk").cogroup(deals.groupBy(*by, "value_chunk")).applyInPandas(drawn, f"{names}, replicate int, drawn double")
+    n = counts.groupBy(*by).agg(F.sum("items").alias("all_items"))
+    return sums.groupBy(*by, "replicate").agg(F.sum("drawn").alias("drawn")).join(n, by).select(*by, "replicate", (F.col("drawn") / F.col("all_items")).alias("replicate_mean"))
+
+
+def bootstrap_ci(items: DataFrame, by: list[str], value: str, n_boot: int = 5000, seed: int = 0) -> DataFrame:
+    """by, n, mean, lo, hi: the mean with a 95 % percentile interval."""
+    ms = replicates(items, by, value, n_boot, seed).groupBy(*by).agg(F.expr("percentile(replicate_mean, 0.025)").alias("lo"), F.expr("percentile(replicate_mean, 0.975)").alias("hi"))
+    return items.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(ms, by)
 
 
-def replicates(items: DataFrame, by: list[str], value: str, key: str, n_boot: int, seed: int) -> DataFrame:
-    """by, b, mean: means of resampled items. Items are numbered by key within a group; draws join on the number."""
-    numbered = items.withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy(key)) - 1)
-    sizes = numbered.groupBy(*by).agg(F.count("*").alias("n"))
-    draws = (
-        sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("d", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-        .withColumn("i", F.pmod(hash_order(seed, F.col("b"), F.col("d")), F.col("n")).cast("int"))
-    )
-    return draws.join(numbered.select(*by, "i", value), [*by, "i"]).groupBy(*by, "b").agg(F.avg(value).alias("m"))
+def n_of(df: DataFrame, column: str) -> int:
+    return df.agg(F.count_distinct(column)).first()[0]
 
 
-def bootstrap_ci(items: DataFrame, by: list[str], value: str, key: str, n_boot: int = 5000, seed: int = 0) -> DataFrame:
-    """by, n, mean, lo, hi: the mean with a 95 % percentile interval."""
-    ms = replicates(items, by, value, key, n_boot, seed).groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("lo"), F.expr("percentile(m, 0.975)").alias("hi"))
-    return items.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(ms, by)
+def correlations(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """by, spearman, pearson, over counts of distinct values, so that no group is sorted whole."""
+    s = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+
+    def ranks(c: str) -> DataFrame:
+        n = s.groupBy(*by, c).agg(F.count("*").alias("c"))
+        below = F.coalesce(F.sum("c").over(W.partitionBy(*by).orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        return n.withColumn(f"r_{c}", below + (F.col("c") + 1) / 2).drop("c")
+
+    r = s.groupBy(*by, x, y).agg(F.count("*").alias("k")).join(ranks(x), [*by, x]).join(ranks(y), [*by, y])
+
+    def weighted(a: str, b: str) -> Column:
+        k, u, v = F.col("k"), F.col(a), F.col(b)
+        n, su, sv = F.sum(k), F.sum(k * u), F.sum(k * v)
+        return F.try_divide(n * F.sum(k * u * v) - su * sv, F.sqrt((n * F.sum(k * u * u) - su * su) * (n * F.sum(k * v * v) - sv * sv)))
+
+    return r.groupBy(*by).agg(weighted(f"r_{x}", f"r_{y}").alias("spearman"), weighted(x, y).alias("pearson"))
 
 
 def paired(items: DataFrame, a: str, b: str, version: str = "version", key: str = "pair_id", value: str = "score") -> DataFrame:
@@ -48,19 +101,16 @@ def ranked_means(items: DataFrame, version: str = "version", value: str = "score
     return means.withColumn("rank", F.row_number().over(W.orderBy(order, version)))
 
 
-def average_rank(value: Column, *by: Column) -> Column:
-    """Ranks from 1, ties at their mean."""
-    same = F.count("*").over(W.partitionBy(*by, value))
-    return F.rank().over(W.partitionBy(*by).orderBy(value)) + (same - 1) / 2
-
-
 def signed_rank(diffs: DataFrame, by: list[str], diff: str = "diff") -> DataFrame:
-    """by, n, w_plus, w_minus, w (the lesser), z: Wilcoxon's signed ranks, zeros left out, ties at mean ranks, normal law with tie correction."""
-    d = diffs.where((F.col(diff) != 0) & F.col(diff).isNotNull()).withColumn("a", F.round(F.abs(diff), 12))
-    r = d.withColumn("r", average_rank(F.col("a"), *[F.col(c) for c in by]))
-    ties = d.groupBy(*by, "a").agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    s = r.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(diff) > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(diff) < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
-    s = s.join(ties, by).withColumn("w", F.least("w_plus", "w_minus"))
+    """by, n, w_plus, w_minus, w (the lesser), z: Wilcoxon's signed ranks, zeros left out, ties at mean ranks, normal law with tie correction.
+
+    Ranks come from counts of distinct sizes, so a test's items are never sorted whole."""
+    d = diffs.where((F.col(diff) != 0) & F.col(diff).isNotNull()).groupBy(*by, F.round(F.abs(diff), 12).alias("a")).agg(F.count("*").alias("t"), F.count_if(F.col(diff) > 0).alias("up"))
+    below = F.coalesce(F.sum("t").over(W.partitionBy(*by).orderBy("a").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    r = d.withColumn("r", below + (F.col("t") + 1) / 2)
+    t = F.col("t").cast("double")
+    s = r.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("up") * F.col("r")).alias("w_plus"), F.sum((F.col("t") - F.col("up")) * F.col("r")).alias("w_minus"), F.sum(t * t * t - t).alias("ties"))
+    s = s.withColumn("w", F.least("w_plus", "w_minus"))
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     return s.withColumn("z", F.try_divide(F.col("w") - n * (n + 1) / 4, spread)).drop("ties")
@@ -93,6 +143,24 @@ def normal_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def two_sided_p(z: Column) -> Column:
+    """normal_p of a column, for the few rows that tests have."""
+
+    @F.pandas_udf("double")
+    def p(x: pd.Series) -> pd.Series:
+        return x.map(normal_p).astype("float64")
+
+    return p(z)
+
+
+def mcnemar_test(b: Column, c: Column) -> Column:
+    @F.pandas_udf("double")
+    def p(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([mcnemar_p(int(i), int(j)) for i, j in zip(x, y, strict=True)], dtype="float64")
+
+    return p(b, c)
+
+
 def weighted_kappa(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     """Quadratic weighted kappa of two grades in one pass; null without disagreement to expect.
 

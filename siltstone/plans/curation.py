@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,6 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import text as T
 from ..operators import gauntlet, sampling, similarity
 from ..sources import tables as S
+from ..sources.files import shared_folder
 from .registry import hash_sql, query
 
 _NORM, _TOK = S.SQL_NORM, S.SQL_TOKENS
@@ -43,14 +43,15 @@ def norm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source").agg(F.count("*").alias("n_docs")).join(kept, "source", "left").select("source", "n_docs", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
 
 
-@query(f"""select doc_id, source || '/0:' || doc_id as chunk_doc, (i - 1)::integer as doc_chunk_no, substr(sha256(body), 1, 16) as chunk_id, n::integer as token_len
+@query(f"""select doc_id, source || '/0:' || doc_id as chunk_doc, (i - 1)::integer as doc_chunk_no, substr(sha256(body), 1, 16) as chunk_id, body as text, n::integer as token_len
     from (select doc_id, source, i, len(w[(i - 1) * 256 + 1:i * 256]) as n, array_to_string(w[(i - 1) * 256 + 1:i * 256], ' ') as body
           from (select doc_id, source, w, unnest(range(1, least(12, (len(w) + 255) // 256) + 1)) as i from (select *, {_TOK.format("text")} as w from documents))) where n >= 80""")
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 256 tokens, the first 12 of a document, those under 80 tokens left out."""
     w = S.corpus(spark, sf_dir).select("doc_id", "source", T.windows(T.tokens(F.col("text")), 256).alias("w"))
     c = w.select("doc_id", "source", F.posexplode(F.slice("w", 1, 12)).alias("doc_chunk_no", "t")).where(F.size("t") >= 80)
-    return c.select("doc_id", F.concat("source", F.lit("/0:"), F.col("doc_id").cast("string")).alias("chunk_doc"), "doc_chunk_no", F.substring(F.sha2(F.array_join("t", " "), 256), 1, 16).alias("chunk_id"), F.size("t").alias("token_len"))
+    body = F.array_join("t", " ")
+    return c.select("doc_id", F.concat("source", F.lit("/0:"), F.col("doc_id").cast("string")).alias("chunk_doc"), "doc_chunk_no", F.substring(F.sha2(body, 256), 1, 16).alias("chunk_id"), body.alias("text"), F.size("t").alias("token_len"))
 
 
 @query(f"""with c as (select doc_id, source, row_number() over (partition by source order by doc_id) as k from documents where {_NORM.format("text")} <> '')
@@ -58,7 +59,7 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank documents numbered within their source."""
     d = S.corpus(spark, sf_dir).where(T.norm(F.col("text")) != "").select("source", "doc_id")
-    return d.withColumn("line_no", F.row_number().over(W.partitionBy("source").orderBy("doc_id")))
+    return sampling.ranks(d, "source", "doc_id", "line_no").select("source", "doc_id", F.col("line_no").cast("int").alias("line_no"))
 
 
 @query(f"select doc_id, array_to_string(({_TOK.format('text')})[1:64], ' ') as head from documents order by doc_id limit 1")
@@ -87,11 +88,11 @@ def content_overlap_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {S.SQL_PAIRS} select id, substr(sha256(chunk_id || '|' || {_NORM.format("question")}), 1, 20) as judge_key, substr(sha256({_NORM.format("question")}), 1, 16) as prompt_id,
-    sha1('v1|clean|' || id || '|' || answer) as item_key, {_NORM.format("case when task in ('summarize', 'extract', 'rewrite') then answer else question end")} as signature from pairs""")
+    sha1('v1|clean|' || id || '|' || answer) as item_key, sha1('v1|v2|' || id) as cache_key, {_NORM.format("case when task in ('summarize', 'extract', 'rewrite') then answer else question end")} as signature from pairs""")
 def hash_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("question")
     item = F.sha1(F.concat_ws("|", F.lit("v1"), F.lit("clean"), F.col("id").cast("string"), F.col("answer")))
-    return S.pairs(spark, sf_dir).select("id", gauntlet.judge_key(F.col("chunk_id"), q).alias("judge_key"), F.substring(F.sha2(T.norm(q), 256), 1, 16).alias("prompt_id"), item.alias("item_key"), T.norm(gauntlet.signature()).alias("signature"))
+    return S.pairs(spark, sf_dir).select("id", gauntlet.judge_key(F.col("chunk_id"), q).alias("judge_key"), F.substring(F.sha2(T.norm(q), 256), 1, 16).alias("prompt_id"), item.alias("item_key"), F.sha1(F.concat_ws("|", F.lit("v1"), F.lit("v2"), F.col("id").cast("string"))).alias("cache_key"), T.norm(gauntlet.signature()).alias("signature"))
 
 
 @query(f"""with {S.SQL_PAIRS}, s as (select id, task, source, row_number() over (partition by sha256({_NORM.format("case when task in ('summarize', 'extract', 'rewrite') then answer else question end")}) order by id) as k from pairs)
@@ -124,11 +125,11 @@ def pref_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
           union all select lang, 3, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from k)
     select lang, n, count(distinct g) as n_unique, count(*) as n_total, count(distinct g)::double / count(*) as distinct_share from g group by lang, n""")
 def distinct_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct-2 and distinct-3 by language; grams are counted by hash, one row a distinct gram after the partial sums."""
+    """Distinct-2 and distinct-3 by language; one row a distinct gram after the partial sums, by the whole gram (SHA-256 of it in the shuffle)."""
     w = S.corpus(spark, sf_dir).select("lang", T.norm_tokens(F.col("text")).alias("w"))
     out = None
     for n in (2, 3):
-        g = w.select("lang", F.explode(T.ngrams(F.col("w"), n)).alias("g")).groupBy("lang", F.xxhash64("g").alias("h")).agg(F.count("*").alias("c"))
+        g = w.select("lang", F.explode(T.ngrams(F.col("w"), n)).alias("g")).groupBy("lang", F.unhex(F.sha2("g", 256)).alias("h")).agg(F.count("*").alias("c"))
         part = g.groupBy("lang").agg(F.lit(n).alias("n"), F.count("*").alias("n_unique"), F.sum("c").alias("n_total"))
         out = part if out is None else out.unionByName(part)
     return out.withColumn("distinct_share", F.col("n_unique") / F.col("n_total"))
@@ -159,16 +160,34 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("i", "j", F.round("sim", 6).alias("sim"))
 
 
-@query(None)
+def _greedy_sql(nodes: str, threshold: str) -> str:
+    """The pass in SQL: one step a node, the kept ones in a list."""
+    return f"""with recursive v as ({nodes}), e as (select a.vec_id as i, b.vec_id as j, a.n as a from v a join v b on a.n < b.n where {_SIM} >= {threshold}),
+        o as (select v.vec_id, v.n, coalesce(list(e.i) filter (where e.i is not null), []) as low from v left join e on e.j = v.vec_id group by v.vec_id, v.n),
+        g(n, kept) as (select 0::bigint, []::bigint[] union all select o.n, case when list_has_any(g.kept, o.low) then g.kept else list_append(g.kept, o.vec_id) end from g join o on o.n = g.n + 1)"""
+
+
+@query(_greedy_sql("select *, row_number() over (order by vec_id) as n from embeddings", "0.3") + " select unnest(kept) as vec_id from g where n = (select max(n) from o)")
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors that a pass in id order keeps when it drops those with cosine 0.3 or more to a kept one."""
     v = S.table(spark, sf_dir, "embeddings")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file:///tmp/siltstone-checkpoints")
+    shared_folder(spark, "greedy")  # checkpoints go to the shared folder
     edges = similarity.pairs_over(v, 0.3).select("i", "j").checkpoint()
     return similarity.greedy_keep(v.select(F.col("vec_id").alias("node")), edges).select(F.col("node").alias("vec_id"))
 
 
+@query(_greedy_sql(f"select * from (select *, row_number() over (order by {hash_sql(1337, 'vec_id')}, vec_id) as n from embeddings) where n <= 300", "0.3") + " select unnest(kept[1:100]) as vec_id from g where n = (select max(n) from o)")
+def greedy_dedup_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred that a pass in hashed order keeps among three times as many."""
+    v = sampling.cap_shuffled(S.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 1337, 300, "vec_id")
+    shared_folder(spark, "greedy")
+    # The pass goes by ids, so places take the ids' part.
+    order = sampling.positions(v, T.hash_order(1337, F.col("vec_id")), "vec_id", "place", parts=1).select("vec_id", F.col("place").cast("long").alias("place"), "embedding").checkpoint()
+    edges = similarity.pairs_over(order, 0.3, id_col="place").select("i", "j").checkpoint()
+    kept = similarity.greedy_keep(order.select(F.col("place").alias("node")), edges).orderBy("node").limit(100)
+    return order.join(kept, order["place"] == kept["node"], "left_semi").select("vec_id")
+
+
 @query(f"""with {_EDGES.replace("0.4", "0.2")}, u as (select i as q, j as id, sim from e union all select j, i, sim from e),
     t as (select e.vec_id as id, d.doc_id, e.label, {_NORM.format("d.text")} as k from embeddings e join documents d on d.doc_id = e.vec_id),
     c as (select u.q, u.id, round(u.sim, 6) as sim, t.k, row_number() over (partition by u.q, t.k order by round(u.sim, 6) desc, u.id) as n from u join t on t.id = u.id join t o on o.id = u.q where t.k <> o.k and t.label <> o.label),
@@ -231,32 +250,48 @@ def first_n_per_cond(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id from (select doc_id, row_number() over (order by doc_id) - 1 as n from documents) where n % 10 = 0")
 def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth document in id order; ranges of ids are counted first, so no task numbers all rows."""
-    d = S.corpus(spark, sf_dir).select("doc_id").withColumn("p", F.floor(F.col("doc_id") / 50_000))
-    before = F.coalesce(F.sum("count").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    at = d.groupBy("p").count().withColumn("before", before).drop("count")
-    n = F.row_number().over(W.partitionBy("p").orderBy("doc_id")) - 1 + F.col("before")
-    return d.join(at, "p").withColumn("n", n).where("n % 10 = 0").select("doc_id")
+    d = S.corpus(spark, sf_dir).select("doc_id", F.lit(0).alias("all"))
+    return sampling.ranks(d, "all", "doc_id").where("(rank - 1) % 10 = 0").select("doc_id")
 
 
-@query(None)
-def deficit_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in the order of a deficit round robin over their sources, null among them (the schedule is a rule over the sources' counts).
+_MIX = {"src0": 1041, "src1": 1026, "src2": 933}
+_OTHERS = 1000  # the mean of the mix
+
 
-    Sources outside the mix weigh as much as its mean; weights are then scaled to add up to 1."""
-    mix = {"src0": 0.347, "src1": 0.342, "src2": 0.311}
+@query(f"""with r as (select doc_id, source, row_number() over (partition by source order by doc_id) as r, case source {' '.join(f"when '{s}' then {w}" for s, w in _MIX.items())} else {_OTHERS} end as w from documents)
+    select source, doc_id, row_number() over (order by (2 * r - 1)::hugeint * ({'*'.join(map(str, [*_MIX.values(), _OTHERS]))}::hugeint // w), source nulls last) - 1 as pos from r""")
+def deficit_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, sources interleaved by weight, null among them. Sources outside the mix weigh as much as its mean."""
     d = S.corpus(spark, sf_dir).select("doc_id", "source")
-    ranked = d.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy("doc_id")))
     counts = {r.source: r["count"] for r in d.groupBy("source").count().collect()}
-    weights = {s: mix.get(s, sum(mix.values()) / len(mix)) for s in sorted(counts, key=lambda s: (s is None, s))}
-    plan = sampling.deficit_schedule(counts, {s: w / sum(weights.values()) for s, w in weights.items()})
-    columns = {"pos": pa.array(range(len(plan)), pa.int64()), "source": pa.array([s for s, _ in plan], pa.string()), "rank": pa.array([r for _, r in plan], pa.int32())}
-    schedule = spark.createDataFrame(pa.table(columns)).select("pos", F.col("source").alias("_source"), F.col("rank").alias("_rank"))
-    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("rank") == F.col("_rank"))
-    return schedule.join(ranked, same).select("pos", "source", "doc_id")
+    ranked = sampling.ranks(d, "source", "doc_id")
+    return sampling.interleaved(ranked, {s: _MIX.get(s, _OTHERS) for s in counts}, counts).select("pos", "source", "doc_id")
+
 
+#: Of raft examples and of tuning examples, the share that each task's pairs make up; pairs of one call.
+NEEDS = (("qa", 0.8, 0.4, 5), ("unanswerable", 0.2 + 0.8 * 0.1, 0.0, 3), ("summarize", 0.0, 0.25, 1), ("extract", 0.0, 0.2, 1), ("rewrite", 0.0, 0.15, 1))
+SIZES, KEPT = {"raft": 10_000, "sft": 15_000}, 0.55
+_NEEDS = f"needs(task, of_raft, of_sft, per_call) as (values {', '.join(f'({t!r}, {a!r}::double, {b!r}::double, {n})' for t, a, b, n in NEEDS)}), raw as (select task, per_call, ceil((of_raft * 10000 + of_sft * 15000) / 0.55::double)::bigint as raw_target from needs), calls as (select task, per_call, raw_target, ceil(raw_target / per_call)::bigint as calls from raw)"
 
-@query("select 'qa' as task, ceil((10000 * 0.8 + 15000 * 0.4) / 0.55)::bigint as raw_target union all select 'unanswerable', ceil((10000 * 0.2 + 10000 * 0.8 * 0.1) / 0.55)::bigint union all select 'summarize', ceil(15000 * 0.25 / 0.55)::bigint union all select 'extract', ceil(15000 * 0.2 / 0.55)::bigint union all select 'rewrite', ceil(15000 * 0.15 / 0.55)::bigint")
+
+def _calls(spark: SparkSession) -> DataFrame:
+    return sampling.targets(spark.createDataFrame(list(NEEDS), "task string, of_raft double, of_sft double, per_call int"), SIZES, KEPT)
+
+
+@query(f"with {_NEEDS} select task, per_call, raw_target, calls from calls")
 def plan_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = {"qa": 0.4, "summarize": 0.25, "extract": 0.2, "rewrite": 0.15}
-    rows = [(t, sampling.raw_target(t, {"raft": 10_000, "qa_sft": 15_000}, mix, 0.8, 0.2, 0.1, 0.55)) for t in S.TASKS]
-    return spark.createDataFrame(rows, "task string, raw_target long")
+    """Pairs to ask for by task, and the calls that takes."""
+    return _calls(spark)
+
+
+@query(f"with {_NEEDS}, e as (select task, task || '|' || i as key from (select task, unnest(range(1, calls + 1)) as i from calls)) select row_number() over (order by {hash_sql(1337, 'key')}, key) - 1 as pos, task from e")
+def task_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of all tasks in one hashed order."""
+    return sampling.scheduled(_calls(spark), 1337)
+
+
+@query(f"with h as (select event_id, row_number() over (order by event_id) <= 60 as held_out, value > 50 as chosen_wins from events) select held_out, count(*) as n, avg(chosen_wins::int)::double as pairwise_accuracy from h group by held_out")
+def rm_pairwise_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the chosen reply's reward is over the rejected one's, on the first sixty held out and on the rest; a tie is an error."""
+    e = sampling.holdout(S.table(spark, sf_dir, "events").select("event_id", "value"), "event_id", 60)
+    return e.groupBy("held_out").agg(F.count("*").alias("n"), F.avg((F.col("value") > 50).cast("double")).alias("pairwise_accuracy"))
