@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import forget_powers
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,6 +66,23 @@ class Stash:
                 remove(self.spark, path)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A mapper that gives the memory it used back to the system when its task ends, as workers wait beside the JVM for the next one."""
+
+    @functools.wraps(run)
+    def lean_run(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        forget_powers()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return lean_run
+
+
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores in front as keep it apart from the columns of df, whatever their case."""
     taken, out = {c.lower() for c in df.columns}, []

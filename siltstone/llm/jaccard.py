@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Stash, fresh_names, merged
+from .common import Stash, fresh_names, lean, merged
 from .words import U, mix, shingle_sets, signed, sums_by
 
 #: Members of a region that sets avoid if they can.
@@ -174,7 +174,7 @@ def measured(docs: DataFrame, k: int) -> DataFrame:
         for batch, lo, _, offsets, ids in set_rows(batches, k):
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, len(ids)), pa.array(np.diff(offsets)), pa.array(ids)], ["doc_id", "n", "sid"])
 
-    return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n long, sid long")
+    return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(lean(run), "doc_id long, n long, sid long")
 
 
 def regions(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -203,7 +203,7 @@ def regions(docs: DataFrame, k: int, percent: int) -> DataFrame:
             got = bands.cells(sets, offsets, ids)
             lot.append(got)
             held += len(got[0])
-            if held > 1_500_000:
+            if held > 800_000:
                 yield from combined()
                 lot, held = [], 0
         if held:
@@ -229,9 +229,9 @@ def regions(docs: DataFrame, k: int, percent: int) -> DataFrame:
             key, sid = key[keep] & ~1, sid[keep]
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(sid)], ["region", "sid"])
 
-    found = docs.select("text").mapInArrow(project, "key long, sid long")
+    found = docs.select("text").mapInArrow(lean(project), "key long, sid long")
     place = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, F.col("sid")).otherwise(F.col("key"))
-    return found.repartition(place).sortWithinPartitions("key", "sid").mapInArrow(survivors, "region long, sid long")
+    return found.repartition(place).sortWithinPartitions("key", "sid").mapInArrow(lean(survivors), "region long, sid long")
 
 
 def avoided(members: DataFrame, percent: int) -> DataFrame:
@@ -246,24 +246,29 @@ def avoided(members: DataFrame, percent: int) -> DataFrame:
     return sized_.where(F.col("c") <= HOT).select("region", "sid").unionByName(kept.select("region", "sid"))
 
 
-def point_sets(docs: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """sid, n, set (array<long>), sketch of the points (sid, doc_id of one of its rows)."""
+def of_points(docs: DataFrame, points: DataFrame, wanted: DataFrame, k: int, whole: bool) -> DataFrame:
+    """sid, n and set (array<long>, if `whole`) or sketch (array<long>) of the wanted sids, each from one of its rows."""
+    last = "set" if whole else "sketch"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, sets, offsets, ids in set_rows(batches, k):
             n = np.diff(offsets)
-            rows = max(1, len(n))
-            cell = np.repeat(np.arange(len(n)), n) * SKETCH_BITS + (sets % U(SKETCH_BITS)).astype(np.int64)
-            odd = np.bincount(cell, minlength=rows * SKETCH_BITS)[: len(n) * SKETCH_BITS].astype(np.uint8) & 1
-            bits = np.packbits(odd.reshape(len(n), SKETCH_BITS), axis=1).view(np.int64)
-            marks = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(bits.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), signed(sets)), marks], ["sid", "n", "set", "sketch"])
-
-    hint = sized(points)
+            if whole:
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), signed(sets))
+            else:
+                rows = max(1, len(n))
+                cell = np.repeat(np.arange(len(n)), n) * SKETCH_BITS + (sets % U(SKETCH_BITS)).astype(np.int64)
+                odd = np.bincount(cell, minlength=rows * SKETCH_BITS)[: len(n) * SKETCH_BITS].astype(np.uint8) & 1
+                bits = np.packbits(odd.reshape(len(n), SKETCH_BITS), axis=1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(bits.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), lists], ["sid", "n", last])
+
+    rows = points.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    hint = sized(rows)
     own = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
-    wanted = own.join(hint(points.select(F.col("doc_id").alias("p"))), F.col("doc_id").eqNullSafe(F.col("p")), "left_semi")
-    sets = wanted.select("text").mapInArrow(run, "sid long, n long, set array<long>, sketch array<long>")
-    return sets.join(hint(points.select("sid")), "sid", "left_semi").dropDuplicates(["sid"])
+    some = own.join(hint(rows.select(F.col("doc_id").alias("p")).distinct()), F.col("doc_id").eqNullSafe(F.col("p")), "left_semi")
+    found = some.select("text").mapInArrow(lean(run), f"sid long, n long, {last} array<long>")
+    return found.join(hint(rows.select("sid")), "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def sized(rows: DataFrame):
@@ -362,7 +367,7 @@ def joined_regions(members: DataFrame, percent: int) -> DataFrame:
             yield pairs(kept)
 
     by_region = members.select("region", "sid", "n", "root", "sketch").repartition("region").sortWithinPartitions("region")
-    return by_region.mapInArrow(run, "a long, b long").distinct()
+    return by_region.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def voronoi_parts(large: DataFrame, percent: int) -> DataFrame:
@@ -388,7 +393,7 @@ def voronoi_parts(large: DataFrame, percent: int) -> DataFrame:
             part = mix(region[at].view(U) + mix(pivot.astype(U) + U(1))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(region[at]), pa.array(part), pa.array(sid[at])], ["whole", "region", "sid"])
 
-    return large.join(heads, "region").select("region", "sid", "n", "sketch", "marks").mapInArrow(run, "whole long, region long, sid long")
+    return large.join(heads, "region").select("region", "sid", "n", "sketch", "marks").mapInArrow(lean(run), "whole long, region long, sid long")
 
 
 def block_parts(large: DataFrame) -> DataFrame:
@@ -418,47 +423,55 @@ def link_components(docs: DataFrame, k: int, percent: int, stash: Stash) -> tupl
     central = single.groupBy("sid").agg(F.struct(F.sum("c").alias("weight"), "sid").alias("rank"))
     ranked = stash(single.join(central, "sid").select("region", "sid", "rank"))
     stash.drop(single)
-    wanted = ranked.select("sid").distinct()
-    sets = stash(point_sets(docs, points.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), k))
+    marks = stash(of_points(docs, points, ranked.select("sid").distinct(), k, whole=False))
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches leave room for a link; the others can't have one."""
-        a = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-        b = sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+        a = marks.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+        b = marks.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
         bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         fits = F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")
         return pairs.join(a, "a").join(b, "b").where(fits & (bits * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The distinct pairs (a, b) that link, by their whole sets."""
+        """The distinct pairs (a, b) that link, by their whole sets; only sets of these pairs travel."""
+        pairs = stash(pairs.distinct())
+        sets = stash(of_points(docs, points, pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), k, whole=True))
         a = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("set_a"))
         b = sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set_b"))
         both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         met = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", both.alias("both"))
-        return met.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+        links = stash(met.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
+        stash.drop(pairs, sets)
+        return links
 
     pivot = ranked.groupBy("region").agg(F.max("rank").alias("pivot"))
     first = ranked.join(pivot, "region").groupBy("sid").agg(F.max("pivot").alias("p")).select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).where("a <> b")
-    first = stash(possible(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
-    roots = merged(None, linked(first), stash)
+    links = linked(possible(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
+    roots = merged(None, links, stash)
+    stash.drop(links)
 
     def opened(at: DataFrame) -> DataFrame:
-        """region, sid, root, n, sketch, c (the region's members) of the regions that hold several components."""
+        """region, sid, root, c (the region's members) of the regions that hold several components."""
         rooted = at.join(roots, F.col("sid") == F.col("node"), "left").select("region", "sid", F.coalesce("root", "sid").alias("root"))
         several = rooted.groupBy("region").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).where("r0 < r1").select("region", "c")
-        return rooted.join(several, "region").join(sets.select("sid", "n", "sketch"), "sid")
+        return rooted.join(several, "region")
+
+    def marked(at: DataFrame) -> DataFrame:
+        return at.join(marks, "sid")
 
     def small(at: DataFrame) -> DataFrame:
-        return stash(joined_regions(at.where(F.col("c") <= LEAF), percent))
+        return stash(joined_regions(marked(at.where(F.col("c") <= LEAF)), percent))
 
     def blocks(at: DataFrame) -> DataFrame:
-        return stash(joined_regions(opened(block_parts(at).distinct()), percent))
+        return stash(joined_regions(marked(opened(block_parts(at).distinct())), percent))
 
     at = stash(opened(ranked.select("region", "sid")))
+    stash.drop(ranked)
     near = [small(at)]
     large = at.where(F.col("c") > LEAF)
     if not large.isEmpty():
-        parts = stash(voronoi_parts(large, percent))
+        parts = stash(voronoi_parts(marked(large), percent))
         copied = parts.groupBy("whole").agg(F.count("*").alias("rows"), F.count_distinct("sid").alias("sets")).where(F.col("rows") > COPIES * F.col("sets")).select(F.col("whole").alias("region"))
         near.append(blocks(large.join(copied, "region", "left_semi")))
         parted = parts.join(copied.withColumnRenamed("region", "whole"), "whole", "left_anti").select("region", "sid").distinct()
@@ -468,8 +481,9 @@ def link_components(docs: DataFrame, k: int, percent: int, stash: Stash) -> tupl
     pairs = near[0]
     for more in near[1:]:
         pairs = pairs.unionByName(more)
-    roots = merged(roots, linked(pairs.distinct()), stash)
-    stash.drop(ranked, sets, first, at, *near)
+    links = linked(pairs)
+    old, roots = roots, merged(roots, links, stash)
+    stash.drop(at, marks, old, links, *near)
     return points, roots
 
 
@@ -494,19 +508,19 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, stash: Stash | None
     # What goes are rows other than the best; they are fewer than those that stay.
     gone = rows.join(best, "root").where(order != F.col("best")).select(F.col("doc_id").alias("gone_id"), F.col("sid").alias("gone_set")).distinct()
     gone = stash(gone)
-    repeated = not points.where("n > 0").groupBy("doc_id", "sid").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    repeated = not points.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
     stash.drop(points, roots)
     names, ddl = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     text, key, size, gone_id, gone_set = fresh_names(docs, "text0", "set", "n", "gone_id", "gone_set")
+    gone = sized(gone)(gone.select(F.col("gone_id").alias(gone_id), F.col("gone_set").alias(gone_set)))
+    if not repeated:  # an id tells the row
+        return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)), "left_anti")
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lo, _, offsets, ids in set_rows(batches, k):
             yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, len(ids)) for i in range(1, len(names) + 1)), pa.array(ids), pa.array(np.diff(offsets))], [*names, key, size])
 
-    tagged = docs.select(docs["text"].alias(text), *[docs[f"`{c}`"] for c in names]).mapInArrow(tag, f"{ddl}, `{key}` long, `{size}` long")
-    gone = sized(gone)(gone.select(F.col("gone_id").alias(gone_id), F.col("gone_set").alias(gone_set)))
+    tagged = docs.select(docs["text"].alias(text), *[docs[f"`{c}`"] for c in names]).mapInArrow(lean(tag), f"{ddl}, `{key}` long, `{size}` long")
     kept = tagged.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_set)), "left_anti")
-    if repeated:
-        with_set = kept.where(F.col(size) > 0).dropDuplicates(["doc_id", key])  # rows repeated with their id
-        kept = with_set.unionByName(kept.where(F.col(size) == 0))
-    return kept.select(*[F.col(f"`{c}`") for c in names])
+    with_set = kept.where(F.col(size) > 0).dropDuplicates(["doc_id", key])  # rows repeated with their id
+    return with_set.unionByName(kept.where(F.col(size) == 0)).select(*[F.col(f"`{c}`") for c in names])

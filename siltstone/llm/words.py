@@ -20,7 +20,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,16 +30,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_powers: dict[int, np.ndarray] = {}
+#: Powers by base, until a task ends.
+powers_kept: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64; kept, and made anew when a longer chunk comes."""
-    if base not in _powers or len(_powers[base]) < n:
+    if base not in powers_kept or len(powers_kept[base]) < n:
         x = np.full(max(n, CHUNK_BYTES + 1), base, U)
         x[0] = 1
-        _powers[base] = np.cumprod(x, dtype=U)
-    return _powers[base][:n]
+        powers_kept[base] = np.cumprod(x, dtype=U)
+    return powers_kept[base][:n]
+
+
+def forget_powers() -> None:
+    powers_kept.clear()
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

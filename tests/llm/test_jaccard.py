@@ -4,24 +4,12 @@ import random
 
 import numpy as np
 import pytest
-from cases import edited, shingles, some_text
+from cases import edited, linked_roots, some_text
 from pyspark.sql import functions as F
 
 from siltstone.llm import jaccard
 
 
-def linked_roots(texts, k, percent):
-    """Set sizes and, for each text, the least index that links lead to, over all pairs."""
-    sets = [shingles(t, k) for t in texts]
-    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and 100 * len(a & b) >= percent * len(a | b)]
-    root, before = list(range(len(texts))), None
-    while root != before:
-        before = list(root)
-        for i, j in links:
-            root[i] = root[j] = min(root[i], root[j])
-    return [len(s) for s in sets], root
-
-
 @pytest.mark.parametrize("percent", [50, 60, 80, 85, 95])
 def test_jaccard_components_equal_brute_force(spark, docs, percent):
     rng = random.Random(percent)
@@ -90,6 +78,14 @@ def test_voronoi_join_within_a_task_loses_no_pair(shared):
     assert want and want <= got and len(got) <= max(2 * len(want), len(sets) ** 2 * (shared > 400))
 
 
+def test_keep_one_of_each_component(spark, docs):
+    rng = random.Random(3)
+    base = [some_text(rng, 80, 10**6).split(" ") for _ in range(5)]
+    texts = [edited(rng, b, e) for b in base for e in (0, 0, 1, 6)] + [None, "", "a b"]
+    _, root = linked_roots(texts, 5, 80)
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(docs(texts), 5, 80).collect()) == sorted(set(root))
+
+
 def test_keep_one_with_clashing_names_and_repeated_rows(spark):
     text = "a b c d e f g h i j"
     rows = [(3, text, 1), (2, text, 2), (2, text, 3), (5, None, 4), (6, "", 5), (None, text, 6), (7, "other words stand here at last now", 7)]
