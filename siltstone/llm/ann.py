@@ -9,7 +9,8 @@ that is still among the best k.
 
 Queries come in blocks of at most QUERY_BLOCK, each sent to all tasks with thresholds from a bounded sample of the
 table; each task keeps k rows a query, and the best k of these are the result. The index is a table of codes over
-every row. Vectors that are null, zero, of another length than most of a bounded sample, or that hold null or
+every row, written once to the shared folder; with several blocks so are the results of each, so that neither the
+driver's memory nor the plan grows with the queries. Vectors that are null, zero, of another length than most of a bounded sample, or that hold null or
 non-finite components take no part, nor do rows without an id. Repeated ids are rows like others; a query leaves out
 all rows of its own id. Ties go to the smaller id. An empty table gives an empty result; other columns are unread."""
 
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import Stash, lean
+
 EPSILON = 2.4
 QUERY_BLOCK = 8_192
 #: Rows whose exact scores give the first thresholds, at most.
@@ -62,7 +65,7 @@ def index(vectors: DataFrame, d: int, vec_id: str = "vec_id", vector: str = "emb
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(fit), batch.column(1)], ["vec_id", "code", "norm", "fit", "embedding"])
 
     rows = vectors.where(usable(F.col(vector)) & (F.size(vector) == d) & F.col(vec_id).isNotNull())
-    return rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("embedding")).mapInArrow(run, f"vec_id long, code binary, norm double, fit double, embedding {kind}")
+    return rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("embedding")).mapInArrow(lean(run), f"vec_id long, code binary, norm double, fit double, embedding {kind}")
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,13 +110,18 @@ def search_block(queries: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray],
         rough = exact.astype(np.float32)
         scale = (norm / fit / np.sqrt(d)).astype(np.float32)
         bound = (norm * (epsilon * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit / np.sqrt(max(1, d - 1)) + SLACK)).astype(np.float32)
-        bound[np.isin(vec, always)] = np.inf  # what a floor comes from is never left out, so k rows are found
+        # What a query's floor comes from is never left out, so k rows are found.
+        lo_, hi_ = np.searchsorted(always[0], vec, "left"), np.searchsorted(always[0], vec, "right")
+        given = {int(i): always[1][lo_[i] : hi_[i]] for i in np.flatnonzero(hi_ > lo_)}
         step = max(1, TILE // max(1, len(ids)))
         for lo in range(0, len(vec), step):
             hi = min(len(vec), lo + step)
             signs = np.unpackbits(code[lo:hi], axis=1, count=d).astype(np.float32) * 2 - 1
             guess = (signs * scale[lo:hi, None]) @ spun.T
             guess += bound[lo:hi, None] * length[None, :]
+            for i in range(lo, hi) if given else ():
+                if i in given:
+                    guess[i - lo, given[i]] = np.inf
             c, q = np.nonzero(guess >= best.floor.astype(np.float32)[None, :])
             other = vec[c + lo] != ids[q]
             c, q = c[other] + lo, q[other]
@@ -136,35 +144,43 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     if not sizes:
         return spark.createDataFrame([], result)
     d = max(set(sizes), key=lambda s: (sizes.count(s), -s))
-    coded = index(vectors, d, vec_id, vector, seed)
+    stash = Stash(spark, "neighbours")
+    coded = stash(index(vectors, d, vec_id, vector, seed))
     turn = rotation(d, seed)
-    asked = vectors.where(usable(F.col(vector)) & (F.size(vector) == d) & is_query).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("embedding"))
-    n = asked.count()
-    blocks = max(1, -(-n // (QUERY_BLOCK * 3 // 4)))
+    asked = vectors.where(usable(F.col(vector)) & (F.size(vector) == d) & is_query).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("embedding")).where("vec_id is not null")
+    blocks = max(1, -(-asked.count() // (QUERY_BLOCK * 3 // 4)))
     some = coded.select("vec_id", "embedding").limit(SAMPLE_ROWS).collect()
     sample_ids, sample = np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some], np.float64).reshape(-1, d)
-    out = None
+    parts = []
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).distinct().collect() if blocks > 1 else asked.distinct().collect()
         if not rows:
             continue
         ids, own = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
         # The k-th best score in the sample is a floor that any true neighbour reaches.
-        floor = np.full(len(ids), -np.inf)
+        floor, above = np.full(len(ids), -np.inf), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         if len(sample) > k:
             for lo in range(0, len(ids), 1024):
                 s = own[lo : lo + 1024] @ sample.T
                 s[sample_ids[None, :] == ids[lo : lo + 1024, None]] = -np.inf
                 floor[lo : lo + 1024] = np.partition(s, len(sample) - k, axis=1)[:, len(sample) - k] - 1e-9
-        sent = spark.sparkContext.broadcast((ids, own, floor, np.unique(sample_ids)))  # QUERY_BLOCK vectors or so
+                q, i = np.nonzero(s >= floor[lo : lo + 1024, None])
+                above.append((sample_ids[i], q + lo))
+        vec, q = (np.concatenate(x) for x in zip(*above, strict=True))
+        order = np.argsort(vec, kind="stable")
+        sent = spark.sparkContext.broadcast((ids, own, floor, (vec[order], q[order])))  # QUERY_BLOCK vectors or so
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             best = search_block(sent.value, turn, k, batches, epsilon)
             yield pa.RecordBatch.from_arrays([pa.array(sent.value[0][best.q]), pa.array(best.i), pa.array(best.s)], ["query_id", "vec_id", "score"])
 
-        part = coded.mapInArrow(run, "query_id long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        part = coded.mapInArrow(lean(run), "query_id long, vec_id long, score double")
+        if blocks > 1:
+            part = stash(part)
+            sent.unpersist()
+        parts.append(part)
+    if not parts:
         return spark.createDataFrame([], result)
+    out = parts[0] if len(parts) == 1 else spark.read.schema(parts[0].schema).parquet(*[p._stash_path for p in parts])
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -25,12 +25,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Words kept with their tokens in a Python worker; beyond it the table starts anew.
-KEPT_WORDS = 600_000
+from .common import lean
+
+#: Words kept with their tokens within a task; beyond it the table starts anew.
+KEPT_WORDS = 150_000
 #: Pairs of tokens kept with their verdicts.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 400_000
 #: Texts handled at once, in characters.
-AT_ONCE = 1_500_000
+AT_ONCE = 1_000_000
+#: Rows of a batch that goes back at once.
+ROWS = 500
 
 
 #: Letters from which a word is merged by a heap of its own.
@@ -383,31 +387,42 @@ def codec(path: str) -> SpeculativeBpe:
     return _loaded[path]
 
 
+def forget_codecs() -> None:
+    """Between tasks a worker holds no tables; the next one makes them anew."""
+    _loaded.clear()
+
+
 def encode_column(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
     """Columns `keep` and of each row n_tokens, ids (array<int>, if with_ids), ids_sha256, decoded_sha256.
 
     One pass without a shuffle. Decoding takes the encoded ids, word by word, through the same tables."""
     kept = [df.schema[c] for c in keep]
 
+    def encoded(bpe: SpeculativeBpe, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(len(kept)).to_pylist()
+        sizes, ids, one, two = [], [], [], []
+        for got, back in bpe.encode(texts):
+            sizes.append(len(got))
+            raw = got.astype("<u4").tobytes()
+            one.append(hashlib.sha256(raw).hexdigest())
+            two.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
+            if with_ids:
+                ids.append(got.astype(np.int32))
+        out = [batch.column(i) for i in range(len(kept))] + [pa.array(sizes, pa.int64())]
+        if with_ids:
+            edge = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))))
+        out += [pa.array(one, pa.string()), pa.array(two, pa.string())]
+        return pa.RecordBatch.from_arrays(out, names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
-            sizes, ids, one, two = [], [], [], []
-            for got, back in bpe.encode(texts):
-                sizes.append(len(got))
-                raw = got.astype("<u4").tobytes()
-                one.append(hashlib.sha256(raw).hexdigest())
-                two.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
-                if with_ids:
-                    ids.append(got.astype(np.int32))
-            out = [batch.column(i) for i in range(len(kept))] + [pa.array(sizes, pa.int64())]
-            if with_ids:
-                edge = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))))
-            out += [pa.array(one, pa.string()), pa.array(two, pa.string())]
-            yield pa.RecordBatch.from_arrays(out, names)
+        for whole in batches:
+            for lo in range(0, len(whole), ROWS):
+                yield encoded(bpe, whole.slice(lo, ROWS))
+        del bpe
+        forget_codecs()
 
     names = [*keep, "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens long", *(["ids array<int>"] if with_ids else []), "ids_sha256 string", "decoded_sha256 string"])
-    return df.select(*[df[c] for c in keep], df[text]).mapInArrow(run, ddl)
+    return df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text}`"]).mapInArrow(lean(run), ddl)

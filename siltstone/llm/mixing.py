@@ -7,30 +7,32 @@ source a shard gets is a multinomial draw on the condition that all shards toget
 (a multivariate hypergeometric one), found by halving the shards from the whole down with a generator keyed by the
 node, so every task draws its own shards alone and reruns agree. Slots then meet their blocks in a join by index.
 
-Sources may be of any size: offsets come from sums within hashed buckets, blocks spread a large source over all
-tasks. Only one row a source (name, weight, sizes) reaches the driver, SOURCES_MOST at most.
+Sources may be of any size: offsets come from sums within hashed buckets of about BUCKET_ROWS rows, blocks spread a
+large source over all tasks. One row a source (name, weight, sizes) reaches the driver, where the weights are.
 
 Null texts have no words and are never taken; a null source is a source of its own, last. Repeated rows are mixed
-as rows. An empty table gives an empty mix. Columns other than those named pass by untouched."""
+as rows, each with its own place in its source. An empty table gives an empty mix. Columns other than those named pass
+by untouched, whatever their names."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Stash
-from .words import bounds, chunks, mix
+from .common import Stash, fresh_names, lean
+from .secret_links import given
+from .words import mix
 
-SOURCES_MOST = 100_000
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
+PIECE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
 @dataclass
@@ -57,6 +59,35 @@ def targets(sources: list[Source], total: float, cap: float = 2.0, floor: float
         s.target = fixed[i] if i in fixed else s.size * floor + rest * s.weight / weight
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n draws without replacement are good, exact at every size.
+
+    Few draws are made one by one, more by the ratio of uniforms under a table-mountain hat (Stadlober's HRUA)."""
+    total = good + bad
+    m, few, many = min(n, total - n), min(good, bad), max(good, bad)
+    if m <= 10:
+        z, left = 0, few
+        for i in range(m):
+            if rng.random() * (total - i) < left:
+                z, left = z + 1, left - 1
+    else:
+        share = few / total
+        centre, spread = m * share + 0.5, math.sqrt((total - m) * m * share * (1 - share) / (total - 1) + 0.5)
+        width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+        weight = lambda k: math.lgamma(k + 1) + math.lgamma(few - k + 1) + math.lgamma(m - k + 1) + math.lgamma(many - m + k + 1)
+        mode = weight((m + 1) * (few + 1) // (total + 2))
+        end = min(min(m, few) + 1, math.floor(centre + 16 * spread))
+        while True:
+            x, y = 1 - rng.random(), rng.random()
+            w = centre + width * (y - 0.5) / x
+            if 0 <= w < end and 2 * math.log(x) <= mode - weight(math.floor(w)):
+                z = math.floor(w)
+                break
+    if good > bad:
+        z = m - z
+    return good - z if m < n else z
+
+
 class Plan:
     """Slots of each source and where a slot's words lie; all numbers follow from sizes, targets and the seed."""
 
@@ -81,12 +112,7 @@ class Plan:
                 pool -= c
                 if not rest:
                     break
-                if c + pool < 1_000_000_000:
-                    x = int(rng.hypergeometric(c, pool, rest)) if c else 0
-                else:  # beyond NumPy's bound: the normal law of the same mean and variance
-                    m = c + pool
-                    x = round(rng.normal(rest * c / m, (rest * c / m * pool / m * (m - rest) / max(1, m - 1)) ** 0.5))
-                out[i] = x = min(max(x, rest - pool, 0), c, rest)
+                out[i] = x = hypergeometric(rng, c, pool, rest) if c else 0
                 rest -= x
             if len(self._nodes) > 5000:
                 self._nodes.clear()
@@ -154,17 +180,15 @@ class Mix:
         spark = docs.sparkSession
         text = F.coalesce(docs["text"], F.lit(""))
         sized = stash(docs.select(docs["doc_id"], docs["source"], F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("hash")))
-        found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(SOURCES_MOST + 1).collect()
-        if len(found) > SOURCES_MOST:
-            raise ValueError(f"over {SOURCES_MOST} sources; group them first")
+        found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
         found.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8")))
         self.sources = [Source(r.source, r.size, w) for r, w in zip(found, weights(len(found)), strict=True)]
         targets(self.sources, share * sum(s.size for s in self.sources), cap, floor)
         self.plan = plan = Plan(self.sources, block, shard, seed)
-        numbers = spark.createDataFrame([(i, s.name, s.size, float(s.target)) for i, s in enumerate(self.sources)], "source_no int, s_name string, source_size long, target double")
-        rows = sized.join(F.broadcast(numbers), sized["source"].eqNullSafe(F.col("s_name"))).drop("s_name")  # at most SOURCES_MOST rows
-        buckets = max(16, sum(r.n for r in found) // BUCKET_ROWS)
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(buckets)))
+        listed = [(i, s.name, s.size, float(s.target), -(-r.n // BUCKET_ROWS)) for i, (s, r) in enumerate(zip(self.sources, found, strict=True))]
+        numbers = spark.createDataFrame(listed, "source_no int, s_name string, source_size long, target double, buckets long")
+        rows = sized.join(F.broadcast(numbers), sized["source"].eqNullSafe(F.col("s_name"))).drop("s_name")  # the driver's row a source
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "hash"), "buckets")).drop("buckets")
         inner = W.partitionBy("source_no", "bucket").orderBy("doc_id", "hash", "size").rowsBetween(W.unboundedPreceding, -1)
         rows = rows.withColumn("off", F.coalesce(F.sum("size").over(inner), F.lit(0)))
         sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("b_size"))
@@ -181,7 +205,7 @@ class Mix:
 
         # Spark takes the slots for as few bytes as the shards' numbers; the joins are told to shuffle them.
         tasks = max(1, min(plan.shards, 4 * spark.sparkContext.defaultParallelism))
-        self.slots = spark.range(0, plan.shards, 1, tasks).mapInPandas(fill, "shard long, slot long, source_no int, pass long, block long, words long")
+        self.slots = spark.range(0, plan.shards, 1, tasks).mapInPandas(lean(fill), "shard long, slot long, source_no int, pass long, block long, words long")
         last = F.floor((F.col("off") + F.col("size") - 1) / F.lit(block)).cast("long")
         spread = self.rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("off") / F.lit(block)).cast("long"), last)))
         low = F.greatest(F.col("off") - F.col("block") * block, F.lit(0))
@@ -210,37 +234,34 @@ class Mix:
         """The mix as documents: for each row and pass the words taken, in order, under the columns of docs.
 
         A row taken whole keeps its text as it is; else its stretches, from word to word with what lies between."""
-        ranges = self.pieces.groupBy("doc_id", "hash", "off", "size", "pass").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("_ranges")).select(
-            F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("size").alias("_size"), F.col("pass").alias("_pass"), "_ranges"
-        )
-        text = F.coalesce(docs["text"], F.lit(""))
-        own = docs.withColumn("_text_hash", F.xxhash64(text)).dropDuplicates([*docs.columns])
-        own = own.join(ranges, own["doc_id"].eqNullSafe(ranges["_id"]) & (own["_text_hash"] == ranges["_hash"]))
-        fields = docs.schema.fields
-        where = docs.columns.index("text")
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts, wanted, sizes = batch.column(where), batch.column(len(fields)), batch.column(len(fields) + 1).to_pylist()
-                out: list[str | None] = []
-                for lo, hi, raw, at in chunks(texts):
-                    starts, _, of = bounds(raw, at)
-                    data = raw.tobytes()
-                    for i in range(hi - lo):
-                        r = [(x["first_word"], x["end_word"]) for x in wanted[lo + i].as_py()]
-                        if sum(b - a for a, b in r) == sizes[lo + i]:
-                            out.append(data[at[i] : at[i + 1]].decode("utf-8"))
-                            continue
-                        edge = np.append(starts[of[i] : of[i + 1]], at[i + 1])
-                        out.append("".join(data[edge[a] : edge[b]].decode("utf-8") for a, b in r))
-                cols = [pa.array(out, texts.type) if k == where else batch.column(k) for k in range(len(fields))]
-                yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
-
-        mixed = own.select(*[own[f.name] for f in fields], "_ranges", "_size").mapInArrow(cut, ddl)
+        key = ["doc_id", "source", "hash"]
+        whole = self.pieces.groupBy(*key, "off", "size", "pass").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("ranges"))
+        more = self.rows.where("size > 0").groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").select(*key)
+        id_, source, hash_, size, spans, copy, text_hash = fresh_names(docs, "id", "from", "hash", "size", "ranges", "copy", "text_hash")
+        own = docs.withColumn(text_hash, F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+        same = lambda df: own["doc_id"].eqNullSafe(df[id_]) & own["source"].eqNullSafe(df[source]) & (own[text_hash] == df[hash_])
+        named = [F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("hash").alias(hash_)]
+        if more.isEmpty():
+            ranges = whole.select(*named, F.col("size").alias(size), F.col("ranges").alias(spans))
+            own = own.join(ranges, same(ranges))
+        else:
+            # Rows equal in id, source and text each take one of the places that such rows have in the source.
+            place = F.dense_rank().over(W.partitionBy(*key).orderBy("off"))
+            places = self.rows.where("size > 0").select(*key, "off").withColumn("place", place)
+            ranges = whole.join(places.select(*[F.col(c).alias(f"p_{c}") for c in (*key, "off")], "place"), F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("hash") == F.col("p_hash")) & (F.col("off") == F.col("p_off")))
+            ranges = ranges.select(*named, F.col("size").alias(size), F.col("ranges").alias(spans), F.col("place").alias(f"{copy}_no"))
+            twice = more.select(*named)
+            numbered = own.join(twice, same(twice), "left_semi").withColumn(copy, F.row_number().over(W.partitionBy("doc_id", "source", text_hash).orderBy(F.lit(0))))
+            own = own.join(twice, same(twice), "left_anti").withColumn(copy, F.lit(1)).unionByName(numbered)
+            own = own.join(ranges, same(ranges) & (own[copy] == ranges[f"{copy}_no"]))
+        # A piece is a word with the blanks behind it, so a stretch of words is its pieces put together.
+        cut = given(F.regexp_extract_all(own["text"], F.lit(PIECE), F.lit(0)), lambda p: F.array_join(F.flatten(F.transform(own[spans], lambda r: F.slice(p, r["first_word"] + 1, r["end_word"] - r["first_word"]))), ""))
+        taken = F.aggregate(own[spans], F.lit(0).cast("long"), lambda t, r: t + r["end_word"] - r["first_word"])
+        new = F.when(taken == own[size], own["text"]).otherwise(cut)
+        mixed = own.select(*[new.alias(c) if c == "text" else own[f"`{c}`"] for c in docs.columns])
         if "n_chars" in docs.columns:
             mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-        return mixed.select(*docs.columns)
+        return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 __all__ = ["Mix", "Plan", "Source", "targets", "cyclic_weights"]

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 WINDOW_TOKENS = 4_000_000
 SCHEMA = "doc_ids array<long>, offsets array<long>, lengths array<int>, cu_seqlens array<int>, position_resets array<int>, n_tokens int, ids binary"
 
@@ -107,7 +109,7 @@ def pieces(df: DataFrame, length: int, make: Callable, args: tuple, end: int | N
                         raw.append(ids[a : a + length].astype(kind).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "at", "n", "ids"])
 
-    return df.select(df[doc_id].cast("long"), df[text]).mapInArrow(run, "doc_id long, at long, n int, ids binary")
+    return df.select(df[doc_id].cast("long"), df[text]).mapInArrow(lean(run), "doc_id long, at long, n int, ids binary")
 
 
 def pack(cut: DataFrame, length: int, pad: int = 0, kind: str = "<u4") -> DataFrame:
@@ -149,4 +151,4 @@ def pack(cut: DataFrame, length: int, pad: int = 0, kind: str = "<u4") -> DataFr
 
     # Dealt by a hash of the piece itself: no source or document fills a shard, and a lost task packs the same again.
     dealt = cut.withColumn("_h", F.xxhash64("doc_id", "at", "ids")).repartition("_h").sortWithinPartitions("_h", "doc_id", "at").drop("_h")
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt.mapInArrow(lean(run), SCHEMA)

@@ -6,14 +6,20 @@ identifier is reported only where a secret starts within the scope, a weak secre
 an endpoint only where both do. The join is on (row, bin of the scope's width) with the bins on either side; each
 bin holds, for each role, only its least and greatest start, so a text full of parts makes no pairs.
 
+Each text is parsed once and its spans are written to the shared folder; work is close to linear in a text's matches
+(running sums and edges are taken in blocks of BLOCK).
+
 Null texts count as empty and have no spans; repeated rows get the same result each; a null doc_id is a key like
 others. Positions are code points, ends exclusive. Input columns other than the key and the text are left out of
-the join and pass in redact() under their own names. Nothing is cut from long texts."""
+the join and pass in redact(), whatever their names. Nothing is cut from long texts. Empty tables give empty results."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from .common import Stash, fresh_names
 
 # Fixed patterns of the base kinds, in the order in which they sort.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -25,24 +31,41 @@ IDENTIFIER = r"""(?i:client|account|tenant|user|access_?key)[_-]?(?i:id)["']?\x2
 RANDOM = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}"
 ENDPOINT = r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\x20\x09-\x0D"'<>]*)?"""
 SCOPE = 256
+BLOCK = 128
 
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
+def given(x: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def blocks(xs: Column) -> Column:
+    """The array in arrays of BLOCK."""
+    return given(xs, lambda a: F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda i: F.slice(a, i * BLOCK + 1, BLOCK))).otherwise(F.array().cast("array<array<int>>")))
+
+
+def running(xs: Column, plus) -> Column:
+    """Of an array of int, for each place 0 plus all values before it; plus: associative, 0 its neutral value."""
+    scan = lambda a, value: F.aggregate(a, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct(plus(acc["at"], value(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+    inner = F.transform(blocks(xs), lambda block: scan(block, lambda x: x))
+    return given(inner, lambda parts: F.flatten(F.zip_with(parts, scan(parts, lambda p: p["at"])["out"], lambda p, base: F.transform(p["out"], lambda x: plus(base, x)))))
+
+
 def spans_of(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Spans of the leftmost non-overlapping matches. What lies between them has the lengths that place them."""
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.zip_with(found, F.slice(between, F.lit(1), F.greatest(F.size(found), F.lit(0))), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        stop = at + F.length(x["m"])
-        more = F.concat(acc["out"], F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"))))
-        return F.struct(stop.alias("at"), (more if keep is None else F.when(keep(x["m"]), more).otherwise(acc["out"])).alias("out"))
+    def placed(both: Column) -> Column:
+        found, gaps = both["found"], both["gaps"]
+        length = F.transform(F.arrays_zip(found.alias("m"), gaps.alias("gap")), lambda x: x["gap"] + F.length(x["m"]))
+        start = F.zip_with(running(length, lambda a, b: a + b), gaps, lambda before, gap: before + gap)
+        spans = F.zip_with(start, found, lambda at, m: F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(m)).alias("stop"), (F.lit(True) if keep is None else keep(m)).alias("kept")))
+        return F.transform(F.filter(spans, lambda s: s["kept"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
 
-    run = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), run).otherwise(F.array().cast(SPAN))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = given(F.transform(F.split(text, pattern, -1), F.length), lambda g: F.slice(g, F.lit(1), F.size(g) - 1))
+    return F.when(text.rlike(pattern), given(F.struct(found.alias("found"), gaps.alias("gaps")), placed)).otherwise(F.array().cast(SPAN))
 
 
 def long_value(m: Column) -> Column:
@@ -86,17 +109,24 @@ def linked(parts: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFrame:
 
 
 def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", scope: int = SCOPE) -> DataFrame:
-    """One row per input row: _id, _hash (of the text), base (its base spans), spans (base and linked ones), in order."""
-    t = F.coalesce(F.col("_text"), F.lit(""))
-    docs = df.select(df[doc_id].alias("_id"), df[text].alias("_text")).withColumn("_hash", F.xxhash64(t))
-    base = docs.select("_id", "_hash", F.array_sort(F.concat(*base_spans(t))).alias("base"))
-    found = docs.select("_id", "_hash", F.concat(*base_spans(t)[:2]).alias("strong"), F.array_sort(F.concat(*base_spans(t))).alias("base"), F.concat(*weak_spans(t)).alias("weak")).where(F.size("weak") > 0)
-    free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
-    parts = found.select("_id", "_hash", F.explode(F.concat(free, F.col("strong"))).alias("p")).select("_id", "_hash", "p.start", "p.kind", "p.stop")
-    more = linked(parts, ["_id", "_hash"], scope).groupBy("_id", "_hash").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("more"))
-    m = more.select(F.col("_id").alias("m_id"), F.col("_hash").alias("m_hash"), "more")
-    out = base.join(m, F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_hash") == F.col("m_hash")), "left")
-    return out.select("_id", "_hash", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("spans"))
+    """One row per input row: id, hash (of the text), base (its base spans), spans (base and linked ones), in order."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    docs = df.select(df[f"`{doc_id}`"].alias("id"), df[f"`{text}`"].alias("text"))
+    parsed = docs.select("id", F.xxhash64(t).alias("hash"), F.array_sort(F.concat(*base_spans(t))).alias("base"), F.concat(*weak_spans(t)).alias("weak"))
+    parsed = Stash(df.sparkSession, "secrets")(parsed)
+    parts = parsed.where(F.size("weak") > 0).dropDuplicates(["id", "hash"]).select("id", "hash", F.explode(F.concat("base", "weak")).alias("p")).select("id", "hash", "p.start", "p.kind", "p.stop")
+    # A weak span that meets a base span says nothing new: the greatest end before it and the least start behind it tell.
+    order = W.partitionBy("id", "hash").orderBy("start", "kind", "stop")
+    base = lambda c: F.when(F.col("kind") < 3, F.col(c))
+    reach = F.coalesce(F.max(base("stop")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(0))
+    ahead = F.min(base("start")).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    parts = parts.withColumn("reach", reach).withColumn("ahead", ahead)
+    free = (F.col("reach") <= F.col("start")) & (F.col("ahead").isNull() | (F.col("ahead") >= F.col("stop")))
+    parts = parts.where((F.col("kind") < 2) | ((F.col("kind") >= 3) & free)).drop("reach", "ahead")
+    more = linked(parts, ["id", "hash"], scope).groupBy("id", "hash").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("more"))
+    m = more.select(F.col("id").alias("m_id"), F.col("hash").alias("m_hash"), "more")
+    out = parsed.join(m, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash")), "left")
+    return out.select("id", "hash", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -108,24 +138,32 @@ def written(spans: Column) -> Column:
 def report(df: DataFrame, text: str = "text", doc_id: str = "doc_id", scope: int = SCOPE) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return scan(df, text, doc_id, scope).select(
-        F.col("_id").alias(doc_id), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.col("id").alias(doc_id), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
     )
 
 
 def redact(df: DataFrame, text: str = "text", doc_id: str = "doc_id", mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """The input with every span in its texts replaced by `mark`; overlapping spans count as one. A null text stays null."""
-    hit = scan(df, text, doc_id, scope).where(F.size("spans") > 0).select(F.col("_id").alias("r_id"), F.col("_hash").alias("r_hash"), F.col("spans").alias("r_spans")).dropDuplicates(["r_id", "r_hash"])
-    joined = df.join(hit, df[doc_id].eqNullSafe(F.col("r_id")) & (F.xxhash64(F.coalesce(df[text], F.lit(""))) == F.col("r_hash")), "left")
-    t = df[text]
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cleaned = F.aggregate(
-        "r_spans", start,
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["stop"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))),
-    )
-    new = F.when(F.col("r_spans").isNotNull() & t.isNotNull(), cleaned).otherwise(t)
-    return joined.select(*[new.alias(c) if c == text else df[c] for c in df.columns])
+    id_, hash_, spans = fresh_names(df, "id", "hash", "spans")
+    hit = scan(df, text, doc_id, scope).where(F.size("spans") > 0).dropDuplicates(["id", "hash"]).select(F.col("id").alias(id_), F.col("hash").alias(hash_), F.col("spans").alias(spans))
+    t = df[f"`{text}`"]
+    joined = df.join(hit, df[f"`{doc_id}`"].eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col(hash_)), "left")
+
+    def cut(xs: Column) -> Column:
+        """Blocks of pieces, each cut from its own part of the text; a piece is what lies before a span that begins no earlier than others end."""
+        reach = running(F.transform(xs, lambda s: s["stop"]), F.greatest)
+        edges = F.zip_with(xs, reach, lambda s, r: F.struct(r.alias("at"), s["start"].alias("to"), s["stop"].alias("stop")))
+        pieces = F.filter(edges, lambda e: e["to"] >= e["at"])
+        last = F.array_max(F.transform(xs, lambda s: s["stop"]))
+
+        def block(b: Column) -> Column:
+            first, end = F.element_at(b, 1)["at"], F.element_at(b, -1)["to"]
+            part = F.substring(t, first + 1, end - first)
+            return given(part, lambda p: F.array_join(F.transform(b, lambda e: F.concat(F.substring(p, e["at"] - first + 1, e["to"] - e["at"]), F.lit(mark))), ""))
+
+        grouped = given(pieces, lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda i: F.slice(a, i * BLOCK + 1, BLOCK)))
+        return F.concat(F.array_join(F.transform(grouped, block), ""), F.substring(t, last + 1, F.length(t)))
+
+    new = F.when(F.col(spans).isNotNull() & t.isNotNull(), given(F.col(spans), cut)).otherwise(t)
+    return joined.select(*[new.alias(c) if c == text else df[f"`{c}`"] for c in df.columns])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Stash
+from .common import Stash, lean
 from .words import BASE, INVERSE, U, bounds, chunks, grams, mix, powers, signed, word_hashes
 
 #: Suffixes of a bucket that one task gathers.
@@ -71,7 +71,7 @@ def kept_suffixes(docs: DataFrame, gram: int, shared: int) -> DataFrame:
                 take = pa.array(lo + doc)
                 yield pa.RecordBatch.from_arrays([signed(h), batch.column(1).take(take), batch.column(2).take(take), pa.array((where - of[doc]).astype(np.int32))], ["h", "doc_id", "row", "at"])
 
-    return docs.select("text", "doc_id", "row").mapInArrow(run, "h long, doc_id long, row long, at int")
+    return docs.select("text", "doc_id", "row").mapInArrow(lean(run), "h long, doc_id long, row long, at int")
 
 
 def window_hashes(words: np.ndarray, left: int, shared: int) -> np.ndarray:
@@ -163,7 +163,7 @@ def repeated_passages(docs: DataFrame, shared: int = 50, gram: int = 20, stash:
         texts = own.join(p, (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")))
         if own_repeats:
             texts = texts.dropDuplicates(["doc_id", "row"])
-        return texts.select("text", "doc_id", "row", "places").mapInArrow(mapped, schema)
+        return texts.select("text", "doc_id", "row", "places").mapInArrow(lean(mapped), schema)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """doc_ids, rows, at, h, words before, words behind and words of the suffixes of a chunk."""
@@ -298,11 +298,11 @@ def repeated_passages(docs: DataFrame, shared: int = 50, gram: int = 20, stash:
     own_repeats = own.groupBy("doc_id", "row").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
     line = "h long, doc_id long, row long, at int, before int, after int, suffix binary, ahead binary"
     cold = suffixes(places.where("not hot"), wide, line).repartition("h").sortWithinPartitions("h", "suffix", "row")
-    found = cold.mapInArrow(neighbours, spans)
+    found = cold.mapInArrow(lean(neighbours), spans)
     if met.where("hot").limit(1).count():
         hot = suffixes(places.where("hot"), windows, "key long, doc_id long, row long, start int, stop int, kind byte")
         place = F.when(F.col("kind") == 2, F.col("row")).otherwise(F.col("key"))
-        found = found.unionByName(hot.repartition(place).sortWithinPartitions("key", "row").mapInArrow(met_windows, spans))
+        found = found.unionByName(hot.repartition(place).sortWithinPartitions("key", "row").mapInArrow(lean(met_windows), spans))
     order = W.partitionBy("doc_id", "row").orderBy("start", "stop")
     behind = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
     new = F.coalesce((F.col("start") > behind).cast("int"), F.lit(1))

@@ -8,7 +8,7 @@ rows, those of least hash, a bounded sample by design; scoring is one pass over
 
 Inputs of a score are the words of the whole text alone. Null and empty texts get the score of a text without
 words. Labels that are null are left out; of several labels of one doc_id the mean decides; equal texts count once
-in fitting. Without labels of both kinds every score is 0. Extra columns pass in keep_clean() and are unread."""
+in fitting. Without labels of both kinds every score is 0; where no word tells them apart every score is the same, under 0.5. Extra columns pass in keep_clean() and are unread."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, fresh_names, lean
 from .words import MARKS, bounds, chunks, mix, word_hashes
 
 #: Labelled rows that the model is fitted on at most.
@@ -99,7 +99,7 @@ def sample(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, held
 
     # Equal texts count once; a doc_id that documents repeats may not lift the bound.
     stash = Stash(documents.sparkSession, "toxicity")
-    once = d.mapInArrow(run, "text_id long, h array<long>, y int").groupBy("text_id").agg(F.first("h").alias("h"), (F.avg("y") >= 0.5).cast("int").alias("y"))
+    once = d.mapInArrow(lean(run), "text_id long, h array<long>, y int").groupBy("text_id").agg(F.first("h").alias("h"), (F.avg("y") >= 0.5).cast("int").alias("y"))
     rows = stash(once.limit(most))
     n, p = rows.agg(F.count("*"), F.avg("y")).first()
     if not n or p in (0.0, 1.0):
@@ -116,11 +116,16 @@ def sample(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, held
             out = [np.intersect1d(np.array(h.as_py(), np.int64), sent.value, assume_unique=True).tobytes() for h in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["text_id", "h", "y"])
 
-    found = rows.mapInArrow(reduce, "text_id long, h binary, y int").collect()
+    found = rows.mapInArrow(lean(reduce), "text_id long, h binary, y int").collect()
     stash.drop(rows)
     return [(np.frombuffer(r.h, np.uint64), r.y) for r in sorted(found, key=lambda r: r.text_id)]
 
 
+def prior(p: float) -> float:
+    """The bias of a model without words: the share of toxic labels, but under a half, as nothing speaks against any text."""
+    return min(float(np.log(p / (1 - p))), -0.01)
+
+
 def fit(rows: list[tuple[np.ndarray, int]], identity=IDENTITY) -> Model:
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), -40.0, identity)
     y = np.array([v for _, v in rows], float)
@@ -128,7 +133,7 @@ def fit(rows: list[tuple[np.ndarray, int]], identity=IDENTITY) -> Model:
         return empty
     flat = np.concatenate([h for h, _ in rows])
     if not len(flat):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(y.mean() / (1 - y.mean()))), identity)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), prior(y.mean()), identity)
     of = np.repeat(np.arange(len(rows)), [len(h) for h, _ in rows])
     keys, where, n = np.unique(flat, return_inverse=True, return_counts=True)
     pos = np.bincount(where, weights=y[of], minlength=len(keys))
@@ -137,7 +142,7 @@ def fit(rows: list[tuple[np.ndarray, int]], identity=IDENTITY) -> Model:
     groups = [hash_of(g) for g in identity]
     chosen = (n >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z) | np.isin(keys, np.concatenate(groups))
     if not chosen.any():
-        return Model(keys[:0], np.zeros(0), float(np.log(p / (1 - p))), identity)
+        return Model(keys[:0], np.zeros(0), prior(p), identity)
     keys, number = keys[chosen], np.cumsum(chosen) - 1
     inside = chosen[where]
     col, row = number[where[inside]], of[inside]
@@ -198,10 +203,12 @@ def score_column(df: DataFrame, model: Model, keep: tuple[str, ...], text: str =
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{name}` double"])
     # The text goes in once more under a name of its own, as it may be among those kept.
-    return df.select(*[df[c] for c in keep], df[text].alias("_scored_text")).mapInArrow(run, ddl)
+    (own,) = fresh_names(df, "scored_text")
+    return df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text}`"].alias(own)).mapInArrow(lean(run), ddl)
 
 
 def keep_clean(documents: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
     """Rows of documents whose score is under `most`, with the columns they came with."""
     names = tuple(documents.columns)
-    return score_column(documents, model, names, name="_toxicity").where(F.col("_toxicity") < most).drop("_toxicity")
+    (score,) = fresh_names(documents, "toxicity")
+    return score_column(documents, model, names, name=score).where(F.col(score) < most).select(*[F.col(f"`{c}`") for c in names])

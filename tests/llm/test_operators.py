@@ -8,69 +8,14 @@ import struct
 import numpy as np
 import public_tokenizers
 import pytest
+from cases import WORD, some_text
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, bpe, jaccard, packing, secret_links, suffixes, tiff, toxicity, warc
+from siltstone.llm import ann, bpe, packing, secret_links, toxicity, warc
 from siltstone.llm.common import Stash, new_folder
 from siltstone.llm.mixing import Mix, cyclic_weights
 
 SF = "/root/testdata/sf0.001"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def some_text(rng, n, words=400):
-    return " ".join(f"w{rng.randrange(words)}" for _ in range(n))
-
-
-def shingles(text, k):
-    w = WORD.findall((text or "").translate({i: i + 32 for i in range(65, 91)}))
-    return {tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
-
-
-def test_jaccard_components_equal_brute_force(spark, docs):
-    rng = random.Random(1)
-    texts = [None, "", "  ", "one two", "One TWO", "one"]
-    for _ in range(12):
-        base = some_text(rng, rng.choice([3, 12, 60, 300])).split(" ")
-        for edits in (0, 0, 1, 2, 6):
-            w = list(base)
-            for _ in range(edits):
-                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
-            texts.append(" ".join(w))
-    sets = [shingles(t, 4) for t in texts]
-    root = list(range(len(texts)))
-    for _ in texts:  # as many rounds as there are rows settle every chain
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a and b and 100 * len(a & b) >= 85 * len(a | b):
-                    root[i] = root[j] = min(root[i], root[j])
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.joined(docs(texts), 4, 85).collect()}
-    assert got == {i: (len(sets[i]), root[i]) for i in range(len(texts))}
-
-
-def test_jaccard_of_large_regions_equals_brute_force(spark, docs, monkeypatch):
-    monkeypatch.setattr(jaccard, "LEAF", 4)
-    monkeypatch.setattr(jaccard, "PIVOTS", 3)
-    rng = random.Random(6)
-    base, texts = some_text(rng, 120, 10**6).split(" "), []
-    for _ in range(24):  # edits at places of their own: many pairs lie about the threshold
-        w = list(base)
-        for i in rng.sample(range(120), rng.randrange(1, 5)):
-            w[i] = f"n{rng.randrange(10**6)}"
-        texts.append(" ".join(w))
-    sets = [shingles(t, 4) for t in texts]
-    root, before = list(range(len(texts))), None
-    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 85 * len(a | b)]
-    while root != before:
-        before = list(root)
-        for i, j in links:
-            root[i] = root[j] = min(root[i], root[j])
-    assert 1 < len(set(root)) < len(texts)
-    assert {r["doc_id"]: r["component_id"] for r in jaccard.joined(docs(texts), 4, 85).collect()} == dict(enumerate(root))
-
-
-def test_jaccard_of_no_rows(spark, docs):
-    assert jaccard.joined(docs([]), 4, 85).count() == 0
 
 
 def test_mix_meets_targets(spark, docs):
@@ -116,21 +61,6 @@ def test_neighbours_equal_brute_force(spark):
     assert all(r["score"] == pytest.approx(s[r["query_id"], r["vec_id"]]) for r in got)
 
 
-@pytest.mark.parametrize("pack,unpack", [(tiff.pack_bits, tiff.unpack_bits), (tiff.pack_lzw, tiff.unpack_lzw)])
-def test_codecs_round_trip(pack, unpack):
-    rng = random.Random(4)
-    for data in (b"", b"a", b"a" * 1000, rng.randbytes(5000), b"abcab" * 4000):
-        assert unpack(pack(data), len(data)) == data
-
-
-def test_tiff_payload_read_back(spark, docs):
-    texts = [None, "", "x" * 191, "x" * 192, "é" * 400]
-    for r in tiff.text_features(docs(texts)).collect():
-        raw = (texts[r["doc_id"]] or "").encode()
-        padded = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
-
-
 def base_spans(text):
     assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 12]
@@ -148,14 +78,6 @@ def test_secret_base_spans(spark, docs):
         assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
 
 
-def test_repeated_passages(spark, docs):
-    rng = random.Random(5)
-    passage = some_text(rng, 70, 10**6)
-    texts = [f"{some_text(rng, 30, 10**6)} {passage} tail", f"{passage} {some_text(rng, 40, 10**6)}", some_text(rng, 200, 10**6), None, ""]
-    rows = suffixes.repeated_passages(docs(texts), shared=50).collect()
-    assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in rows) == [(0, 30, 100), (1, 0, 70)]
-
-
 def test_tokens_equal_the_library(spark, docs):
     from tokenizers import Tokenizer
 

@@ -29,7 +29,7 @@ def test_swapped_terms_leave_scores():
     model = model_of(texts, labels)
     for group in toxicity.IDENTITY:
         got = toxicity.scores(pa.array([f"the {t} came to the meeting today" for t in group], pa.string()), model)
-        assert got.max() - got.min() < 0.1, (group, got)
+        assert got.max() - got.min() < 0.02, (group, got)
     assert toxicity.scores(pa.array(["a hateful thing"]), model)[0] > toxicity.scores(pa.array(["a nice thing"]), model)[0] + 0.2
     # Compounds of words that are no terms keep their beginnings.
     assert len(next(toxicity.words_of(pa.array(["hatefulness"])))[2]) == 3 and len(next(toxicity.words_of(pa.array(["Immigrants"])))[2]) == 1
