@@ -88,5 +88,5 @@ def keep_pref(raw: DataFrame, verdicts: DataFrame, least: int = 3, key: str = "p
 
 def without_sibling(files: DataFrame, key: str, better: Column) -> DataFrame:
     """Rows of a key that has a better one go, the better ones stay."""
-    have = files.where(better).select(F.col(key).alias("_k")).distinct()
-    return files.where(better).unionByName(files.where(~better).join(have, F.col(key) == F.col("_k"), "left_anti"))
+    have = files.where(better).select(F.col(key).alias("sibling_of")).distinct()
+    return files.where(better).unionByName(files.where(~better).join(have, F.col(key) == F.col("sibling_of"), "left_anti"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .. import schemas
+from ..operators.gauntlet import without_sibling
 
 CORRUPT = "_corrupt_line"
 
@@ -70,8 +71,7 @@ def eval_blobs(spark: SparkSession, path: str, whole: bool = False) -> DataFrame
     blobs = spark.read.schema(f"per_item array<struct<{schemas.as_struct(schemas.EVAL_ITEM)}>>").option("multiLine", str(whole).lower()).json(path)
     version, judged = version_of(F.col("_metadata.file_path"))
     named = blobs.select(version.alias("version"), judged.alias("judged"), "per_item").where("version <> ''")
-    sibling = named.where("judged").select("version").distinct().withColumn("plain", F.lit(False))
-    kept = named.join(F.broadcast(sibling), (named["version"] == sibling["version"]) & (named["judged"] == sibling["plain"]), "left_anti")  # a row a version
+    kept = without_sibling(named, "version", F.col("judged"))
     return kept.select("version", "judged", F.explode("per_item").alias("item")).select("version", "judged", *[f"item.{c}" for c in ("cond", "pair_id", "source", "answerable", "system", "user", "ref", "resp", "scores", "judge")])
 
 
