@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import lean
 
 #: Words kept with their tokens within a task; beyond it the table starts anew.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 600_000
 #: Pairs of tokens kept with their verdicts.
 KEPT_PAIRS = 400_000
 #: Texts handled at once, in characters.
@@ -117,6 +117,7 @@ class SpeculativeBpe:
         self._forget_runs()
         self._forget_pairs()
         self.counts = {"words": 0, "merged": 0}
+        self.kept_words = KEPT_WORDS
 
     @staticmethod
     def _normaliser(spec: dict | None):
@@ -329,7 +330,7 @@ class SpeculativeBpe:
         marks = {r for r in runs if r[0] == " "}
         runs = sorted(runs - marks)
         lots = [[r] if r.isalpha() else self.pieces(r) for r in runs]
-        if len(self.index) > KEPT_WORDS:
+        if len(self.index) > self.kept_words:
             self._forget_words()
         self._pieces_known(lots)
         flat = np.fromiter((self.index[p] for pieces in lots for p in pieces), np.int64)
@@ -361,7 +362,7 @@ class SpeculativeBpe:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str]]:
         """Ids (unsigned 32-bit) and decoded text of each text."""
         for lot in self.batches(texts):
-            if len(self.run_index) > KEPT_WORDS:
+            if len(self.run_index) > self.kept_words:
                 self._forget_runs()
             if new := set().union(*lot).difference(self.run_index):
                 self._runs_known(new)
@@ -392,10 +393,11 @@ def forget_codecs() -> None:
     _loaded.clear()
 
 
-def encode_column(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
+def encode_column(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Columns `keep` and of each row n_tokens, ids (array<int>, if with_ids), ids_sha256, decoded_sha256.
 
-    One pass without a shuffle. Decoding takes the encoded ids, word by word, through the same tables."""
+    One pass without a shuffle. Decoding takes the encoded ids, word by word, through the same tables. kept_words: how
+    many words a worker keeps, its memory (about 1 KB a word) against meeting them again; results don't depend on it."""
     kept = [df.schema[c] for c in keep]
 
     def encoded(bpe: SpeculativeBpe, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -417,6 +419,7 @@ def encode_column(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
+        bpe.kept_words = kept_words
         for whole in batches:
             for lo in range(0, len(whole), ROWS):
                 yield encoded(bpe, whole.slice(lo, ROWS))
