@@ -14,7 +14,8 @@ from siltstone.llm.common import Stash, table
 from siltstone.llm.mixing import Mix
 from siltstone.llm.queries import held_out
 
-BATCH = 2_000
+#: Rows of a batch for Python workers, and words that the tokenizer keeps in one: they share executors with what the stages before leave in the JVM.
+BATCH, KEPT_WORDS = 2_000, 150_000
 
 
 def by_small_batches(spark: SparkSession) -> None:
@@ -53,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
     by_small_batches(spark)
-    return bpe.encode_column(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"))
+    return bpe.encode_column(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"), kept_words=KEPT_WORDS)
 
 
 STAGES = [
